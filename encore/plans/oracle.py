@@ -168,26 +168,41 @@ NAME_PARTS = {
 }
 
 
-def pairs(weights: tuple[float, ...]) -> str:
-    """Every pair is formed and scored; weights in the order track, artist, album, followers, duration, name."""
+SHARED_TRACK = """
+    SELECT DISTINCT x.pid AS pid_a, y.pid AS pid_b FROM mem x JOIN mem y ON x.track_uri = y.track_uri AND x.pid < y.pid"""
+ALIKE_NAMES = """
+    SELECT x.pid AS pid_a, y.pid AS pid_b FROM bag x JOIN bag y ON x.pid < y.pid
+    LEFT JOIN nsim ON name_a = x.name AND name_b = y.name
+    ORDER BY round(coalesce(cos, 0), 9) DESC, 1, 2 LIMIT 10"""
+
+
+def pairs(weights: tuple[float, ...], candidates: str, least: float) -> str:
+    """Best pairs of `candidates`; weights in the order track, artist, album, followers, duration, name.
+
+    No other pair can score above `least`, and the statement fails if the list does not stay above it.
+    """
     def jaccard(c):
         inter = f"len(list_intersect(x.{c}, y.{c}))"
         return f"{inter} / (len(x.{c}) + len(y.{c}) - {inter})::DOUBLE"
 
-    parts = ["ts", "rs", "bs", "fs", "ds", "coalesce(cos, 0)"]
+    parts = ["ts", "rs", "bs", "fs", "ds", "ns"]
     score = " + ".join(f"{w!r}::DOUBLE * {p}" for w, p in zip(weights, parts))
+    local = dict(NAME_PARTS, cand=candidates, best=f"""
+        SELECT pid_a, pid_b, ts, rs, bs, fs, ds, ns, round({score}, 9) AS score
+        FROM (SELECT pid_a, pid_b, {jaccard('t')} AS ts, {jaccard('a')} AS rs, {jaccard('b')} AS bs,
+                     1 - abs(coalesce(x.f::DOUBLE / nullif(mf, 0), 0) - coalesce(y.f::DOUBLE / nullif(mf, 0), 0)) AS fs,
+                     1 - abs(coalesce(x.d::DOUBLE / nullif(md, 0), 0) - coalesce(y.d::DOUBLE / nullif(md, 0), 0)) AS ds,
+                     coalesce(cos, 0) AS ns
+              FROM cand JOIN bag x ON x.pid = pid_a JOIN bag y ON y.pid = pid_b
+              LEFT JOIN nsim ON name_a = x.name AND name_b = y.name,
+                   (SELECT max(f) AS mf, max(d) AS md FROM bag))
+        ORDER BY score DESC, pid_a, pid_b LIMIT 10""")
     return sql(f"""
-        SELECT pid_a, pid_b, {r('ts', 'track_similarity')}, {r('rs', 'artist_similarity')},
-               {r('bs', 'album_similarity')}, {r('fs', 'followers_similarity')}, {r('ds', 'duration_similarity')},
-               {r('ns', 'name_similarity')}, {r('score', 'final_similarity')}
-        FROM (SELECT pid_a, pid_b, ts, rs, bs, fs, ds, coalesce(cos, 0) AS ns, round({score}, 9) AS score
-              FROM (SELECT x.pid AS pid_a, y.pid AS pid_b, x.name AS xn, y.name AS yn,
-                           {jaccard('t')} AS ts, {jaccard('a')} AS rs, {jaccard('b')} AS bs,
-                           1 - abs(coalesce(x.f::DOUBLE / nullif(mf, 0), 0) - coalesce(y.f::DOUBLE / nullif(mf, 0), 0)) AS fs,
-                           1 - abs(coalesce(x.d::DOUBLE / nullif(md, 0), 0) - coalesce(y.d::DOUBLE / nullif(md, 0), 0)) AS ds
-                    FROM bag x JOIN bag y ON x.pid < y.pid, (SELECT max(f) AS mf, max(d) AS md FROM bag))
-              LEFT JOIN nsim ON name_a = xn AND name_b = yn)
-        ORDER BY score DESC, pid_a, pid_b LIMIT 10""", "bag", "wrd", **NAME_PARTS)
+        SELECT CASE WHEN (SELECT min(score) FROM best) <= {least} THEN error('list reaches unseen pairs')
+                    ELSE pid_a END::BIGINT AS pid_a, pid_b, {r('ts', 'track_similarity')},
+               {r('rs', 'artist_similarity')}, {r('bs', 'album_similarity')}, {r('fs', 'followers_similarity')},
+               {r('ds', 'duration_similarity')}, {r('ns', 'name_similarity')}, {r('score', 'final_similarity')}
+        FROM best""", "bag", "wrd", **local)
 
 
 MEM = "pid, pos, tid, track_uri, track_name, album_name, album_uri, artist_name, artist_uri, duration_ms"
@@ -256,7 +271,7 @@ ORACLE: dict[str, str] = {
         for i, p in enumerate(("album", "artist", "track", "duration"))) + " FROM vec", "vec"),
     "tfidf_track_text": sql(tfidf("trk", "tid", ["track_name", "album_name", "artist_name"]), "trk"),
     "tfidf_documents": sql(tfidf("documents", "doc_id", ["text"])),
-    "playlist_similarity_topk": pairs((6 / 24, 6 / 24, 6 / 24, 1 / 24, 1 / 24, 4 / 24)),
-    "playlist_overlap_topk": pairs((1 / 3, 1 / 3, 1 / 3, 0.0, 0.0, 0.0)),
-    "name_similarity_topk": pairs((0.0, 0.0, 0.0, 0.0, 0.0, 1.0)),
+    "playlist_similarity_topk": pairs((6 / 24, 6 / 24, 6 / 24, 1 / 24, 1 / 24, 4 / 24), SHARED_TRACK, 18 / 24),
+    "playlist_overlap_topk": pairs((1 / 3, 1 / 3, 1 / 3, 0.0, 0.0, 0.0), SHARED_TRACK, 2 / 3),
+    "name_similarity_topk": pairs((0.0, 0.0, 0.0, 0.0, 0.0, 1.0), ALIKE_NAMES, -1.0),
 }
