@@ -205,6 +205,11 @@ def pairs(weights: tuple[float, ...], candidates: str, least: float) -> str:
         FROM best""", "bag", "wrd", **local)
 
 
+NEAREST = """
+    SELECT c.pid AS target_pid, arg_max(i.pid, (round(coalesce(cos, 0), 9), -i.pid)) AS pid,
+           max(round(coalesce(cos, 0), 9)) AS name_similarity
+    FROM chal c JOIN info i ON i.pid <> c.pid AND i.num_tracks > 0 AND c.num_samples = 0
+    LEFT JOIN nsim ON name_a = c.name AND name_b = i.name GROUP BY c.pid"""
 MEM = "pid, pos, tid, track_uri, track_name, album_name, album_uri, artist_name, artist_uri, duration_ms"
 CAT = "tid, track_uri, track_name, album_name, album_uri, artist_name, artist_uri, duration_ms"
 FEATURES = ["num_followers", "num_artists", "num_albums", "num_tracks", "modified_at"]
@@ -274,4 +279,6 @@ ORACLE: dict[str, str] = {
     "playlist_similarity_topk": pairs((6 / 24, 6 / 24, 6 / 24, 1 / 24, 1 / 24, 4 / 24), SHARED_TRACK, 18 / 24),
     "playlist_overlap_topk": pairs((1 / 3, 1 / 3, 1 / 3, 0.0, 0.0, 0.0), SHARED_TRACK, 2 / 3),
     "name_similarity_topk": pairs((0.0, 0.0, 0.0, 0.0, 0.0, 1.0), ALIKE_NAMES, -1.0),
+    "nearest_playlist_by_name": sql(f"SELECT target_pid, pid, {r('name_similarity', 'name_similarity')} FROM near",
+                                    "chal", "wrd", **NAME_PARTS, near=NEAREST),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from encore import schemas
-from encore.operators import challenge, distribution, features, ingest, playlist_pairs, profile, scope, toplists
+from encore.operators import challenge, distribution, features, ingest, names, playlist_pairs, profile, scope, toplists
 from encore.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,3 +271,11 @@ def _pairs(weights=None):
 QUERIES["playlist_similarity_topk"] = _pairs()
 QUERIES["playlist_overlap_topk"] = _pairs({f"{s}_similarity": 1 / 3 for s in playlist_pairs.SETS})
 QUERIES["name_similarity_topk"] = _pairs({"name_similarity": 1.0})
+
+
+@query
+def nearest_playlist_by_name(spark, sf):
+    """For every challenge playlist without seeds, the playlist with tracks whose name is closest."""
+    info, _ = _challenge_parts(spark, sf)
+    corpus = star.playlists_info(spark, sf).filter(F.col("num_tracks") > 0)
+    return rounded(names.nearest_by_name(info.filter(F.col("num_samples") == 0), corpus))
