@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from encore.functions.text import whitespace_tokens
 from encore.functions.vectors import l2_normalised
+from encore.sources.stage import staged
 
 # Field -> column of its frequency rank, in the order they enter the vector before the duration.
 INDEXED = {"album_name": "album_index", "artist_name": "artist_index", "track_name": "track_index"}
@@ -18,39 +19,44 @@ HASH_BUCKETS = 10_000
 RANGES = 128
 
 
-def frequency_index(table: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
-    """(value, index): 0 for the most frequent value, ties in alphabetical order.
+def frequency_index(table: DataFrame, columns: list[str], ranges: int = RANGES) -> DataFrame:
+    """(field, value, index) for several columns: 0 for a column's most frequent value, ties alphabetical.
 
     The order is global but no task sees more than one range of it: `ranges` distinct values,
     picked by hash, cut the order into ranges; the rows before a range come from per-range counts.
     """
-    counted = (table.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    place = F.struct((-F.col("n")).alias("n"), F.col("value").alias("value"))
-    cuts = (counted.orderBy(F.md5("value"), "value").limit(ranges).select(place.alias("cut"))
+    cells = [F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns]
+    counted = staged(
+        table.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+        .groupBy("field", "value").agg((-F.count(F.lit(1))).alias("place")), "value-counts")
+    key = F.struct("field", "place", "value")
+    cuts = (counted.orderBy(F.md5("value"), "field", "value").limit(ranges).select(key.alias("cut"))
             .agg(F.sort_array(F.collect_list("cut"))).scalar())
     ranged = counted.withColumn("cuts", cuts).select(
-        "value", "n", F.size(F.filter("cuts", lambda cut: cut <= place)).cast("bigint").alias("range"))
-    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # at most ranges + 1 rows
-    offsets = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size")).select(
-        "range", F.coalesce(F.sum("size").over(before), F.lit(0).cast("bigint")).alias("offset"))
-    within = W.partitionBy("range").orderBy(F.desc("n"), "value")
+        "field", "place", "value", F.size(F.filter("cuts", lambda cut: cut <= key)).cast("bigint").alias("range"))
+    before = W.partitionBy("field").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    # At most one row per range and column.
+    offsets = ranged.groupBy("field", "range").agg(F.count(F.lit(1)).alias("size")).select(
+        "field", "range", F.coalesce(F.sum("size").over(before), F.lit(0).cast("bigint")).alias("offset"))
+    within = W.partitionBy("field", "range").orderBy("place", "value")
     return (
         ranged.withColumn("nth", F.row_number().over(within))
-        .join(F.broadcast(offsets), "range")
-        .select("value", (F.col("offset") + F.col("nth") - 1).cast("bigint").alias("index")))
+        .join(F.broadcast(offsets), ["field", "range"])
+        .select("field", "value", (F.col("offset") + F.col("nth") - 1).cast("bigint").alias("index")))
 
 
 def index_features(tracks: DataFrame) -> DataFrame:
     """Tracks with their three frequency ranks. A missing name takes the first rank after all names."""
+    index = staged(frequency_index(tracks, list(INDEXED)), "frequency-index")
+    known = index.agg(F.struct(*[F.count_if(F.col("field") == f).alias(f) for f in INDEXED]).alias("s")).scalar()
+
     def add(table, item):
         field, name = item
-        index = frequency_index(tracks, field)
-        known = index.agg(F.count(F.lit(1))).scalar()
-        joined = table.join(index, table[field] == index["value"], "left")
-        return joined.withColumn(name, F.coalesce("index", known).cast("double")).drop("value", "index")
+        ranks = index.filter(F.col("field") == field).select(F.col("value").alias(field), F.col("index").alias(name))
+        return table.join(ranks, field, "left").withColumn(
+            name, F.coalesce(name, known[field]).cast("double"))
 
-    return reduce(add, INDEXED.items(), tracks)
+    return reduce(add, INDEXED.items(), tracks).select(*tracks.columns, *INDEXED.values())
 
 
 def _min_max(column: Column, lo: Column, hi: Column) -> Column:
@@ -60,8 +66,8 @@ def _min_max(column: Column, lo: Column, hi: Column) -> Column:
 
 def scaled_features(tracks: DataFrame) -> DataFrame:
     """Min-max scaled and unit-length vectors of (album, artist, track rank, duration)."""
-    indexed = index_features(tracks).withColumn(
-        "duration", F.coalesce("duration_ms", F.lit(0).cast("bigint")).cast("double"))
+    indexed = staged(index_features(tracks).withColumn(
+        "duration", F.coalesce("duration_ms", F.lit(0).cast("bigint")).cast("double")), "track-index")
     parts = [*INDEXED.values(), "duration"]
     limits = indexed.agg(
         *[F.min(p).alias(f"{p}_lo") for p in parts], *[F.max(p).alias(f"{p}_hi") for p in parts]

@@ -210,6 +210,22 @@ NEAREST = """
            max(round(coalesce(cos, 0), 9)) AS name_similarity
     FROM chal c JOIN info i ON i.pid <> c.pid AND i.num_tracks > 0 AND c.num_samples = 0
     LEFT JOIN nsim ON name_a = c.name AND name_b = i.name GROUP BY c.pid"""
+DOT = "q.v1 * t.v1 + q.v2 * t.v2 + q.v3 * t.v3 + q.v4 * t.v4"
+MEAN = "avg(v1) AS v1, avg(v2) AS v2, avg(v3) AS v3, avg(v4) AS v4"
+
+
+def recommended(k: int) -> str:
+    """Every track scored against every playlist vector `q`, own seeds left out."""
+    return f"""
+        SELECT pid, tid, score, row_number() OVER (PARTITION BY pid ORDER BY score DESC, tid) AS rank
+        FROM (SELECT q.pid, t.tid, round({DOT}, 9) AS score FROM q, vec t)
+        ANTI JOIN own USING (pid, tid)
+        QUALIFY rank <= {k}"""
+
+
+OWN = "SELECT DISTINCT pid, tid FROM spl WHERE NOT holdout"
+SEEDED = dict(own=OWN, q=f"SELECT pid, {MEAN} FROM spl JOIN vec USING (tid) WHERE NOT holdout GROUP BY pid",
+              rec=recommended(10))
 MEM = "pid, pos, tid, track_uri, track_name, album_name, album_uri, artist_name, artist_uri, duration_ms"
 CAT = "tid, track_uri, track_name, album_name, album_uri, artist_name, artist_uri, duration_ms"
 FEATURES = ["num_followers", "num_artists", "num_albums", "num_tracks", "modified_at"]
@@ -281,4 +297,42 @@ ORACLE: dict[str, str] = {
     "name_similarity_topk": pairs((0.0, 0.0, 0.0, 0.0, 0.0, 1.0), ALIKE_NAMES, -1.0),
     "nearest_playlist_by_name": sql(f"SELECT target_pid, pid, {r('name_similarity', 'name_similarity')} FROM near",
                                     "chal", "wrd", **NAME_PARTS, near=NEAREST),
+    "similar_tracks": sql(f"""
+        SELECT q.tid AS seed_tid, t.tid, t.track_name, t.artist_name,
+               {r(f'round({DOT}, 9)', 'cosine_similarity')},
+               row_number() OVER (PARTITION BY q.tid ORDER BY round({DOT}, 9) DESC, t.tid) AS rank
+        FROM vec q, vec t WHERE q.tid <> t.tid AND q.track_uri IN (
+            SELECT track_uri FROM mem WHERE pos = 0 GROUP BY 1 ORDER BY count(*) DESC, track_uri LIMIT 10)
+        QUALIFY rank <= 500""", "vec", "mem"),
+    "track_similarity_topk": sql(f"""
+        SELECT q.tid AS tid_a, t.tid AS tid_b, q.track_name AS track_1, t.track_name AS track_2,
+               q.artist_name AS artist_1, t.artist_name AS artist_2, q.album_name AS album_1, t.album_name AS album_2,
+               {r(f'round({DOT}, 9)', 'cosine_similarity')}, {r(f'round({DOT}, 9)', 'track_similarity', 3)}
+        FROM vec q JOIN vec t ON q.tid < t.tid ORDER BY round({DOT}, 9) DESC, q.tid, t.tid LIMIT 20""", "vec"),
+    "embedding_topk": f"""
+        SELECT vec_id AS item_id, {r('c', 'cosine_similarity')}, row_number() OVER (ORDER BY c DESC, vec_id) AS rank
+        FROM (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], s.embedding::DOUBLE[]), 9) AS c
+              FROM embeddings e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) s WHERE e.vec_id <> s.vec_id)
+        QUALIFY rank <= 500""",
+    "candidate_pool": sql(f"""
+        SELECT {CAT} FROM trk WHERE substr(md5(tid::VARCHAR), 1, 8) < '1999999a'
+        OR tid IN (SELECT tid FROM spl WHERE NOT holdout)""", "spl"),
+    "continue_seeded": sql(f"SELECT pid, tid, {r('score', 'score')}, rank FROM rec", "vec", "spl", **SEEDED),
+    "continue_seedless": sql(f"SELECT pid, tid, {r('score', 'score')}, rank FROM rec", "vec", "chal", "wrd", **NAME_PARTS,
+                             near=NEAREST, own=OWN, q=f"""
+        SELECT target_pid AS pid, {MEAN} FROM near JOIN mem USING (pid) JOIN vec USING (tid) GROUP BY 1""",
+                             rec=recommended(500)),
+    "eval_metrics": sql(f"""
+        SELECT k, {r('avg(hits / k)', 'precision')}, {r('avg(hits / n)', 'recall')},
+               {r('avg(ap / least(n, k))', 'map')}, {r('avg(dcg / ideal)', 'ndcg')}, count(*) AS n_playlists
+        FROM (SELECT ks.k, lab.pid, n, coalesce(count(h.rank), 0)::DOUBLE AS hits, coalesce(sum(h.nth / h.rank), 0) AS ap,
+                     coalesce(sum(1 / log2(h.rank + 1)), 0) AS dcg,
+                     (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, ks.k) + 1) g(i)) AS ideal
+              FROM (VALUES (1::BIGINT), (5), (10)) ks(k),
+                   (SELECT pid, count(*) AS n FROM labels_of GROUP BY pid) lab
+              LEFT JOIN (SELECT pid, rank, row_number() OVER (PARTITION BY pid ORDER BY rank)::DOUBLE AS nth
+                         FROM rec JOIN labels_of USING (pid, tid)) h ON h.pid = lab.pid AND h.rank <= ks.k
+              GROUP BY ks.k, lab.pid, n)
+        GROUP BY k""", "vec", "spl", **SEEDED, labels_of="""
+        SELECT DISTINCT pid, tid FROM spl WHERE holdout AND pid IN (SELECT pid FROM own)"""),
 }

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from encore import schemas
-from encore.operators import challenge, distribution, features, ingest, names, playlist_pairs, profile, scope, toplists
+from encore.operators import (
+    challenge, distribution, features, ingest, metrics, names, playlist_pairs, profile, scope, toplists,
+)
+from encore.operators.nearest import nearest_to_one
+from encore.plans import continuation
 from encore.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,3 +283,64 @@ def nearest_playlist_by_name(spark, sf):
     info, _ = _challenge_parts(spark, sf)
     corpus = star.playlists_info(spark, sf).filter(F.col("num_tracks") > 0)
     return rounded(names.nearest_by_name(info.filter(F.col("num_samples") == 0), corpus))
+
+
+@query
+def similar_tracks(spark, sf):
+    """The 500 tracks most similar to each of the ten most common opening tracks."""
+    tracks = star.tracks(spark, sf)
+    top = toplists.top_opening_tracks(star.playlists_tracks(spark, sf), tracks)
+    return rounded(continuation.similar_tracks(tracks, scope.in_scope(tracks, top, "track_uri")))
+
+
+@query
+def track_similarity_topk(spark, sf):
+    return rounded(continuation.most_similar_tracks(star.tracks(spark, sf)))
+
+
+@query
+def embedding_topk(spark, sf):
+    """The 500 given vectors closest to the one with the smallest id."""
+    items = star.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return rounded(nearest_to_one(items, items.orderBy("item_id").limit(1), 500))
+
+
+# --- continuation and its quality ---------------------------------------------------------------
+
+@query
+def candidate_pool(spark, sf):
+    """A tenth of the catalogue with every challenge seed added."""
+    seeds = _challenge_parts(spark, sf)[1].filter(~F.col("holdout"))
+    return scope.candidate_pool(star.tracks(spark, sf).drop("part_key"), seeds)
+
+
+def _seeds(spark, sf):
+    return _challenge_parts(spark, sf)[1].filter(~F.col("holdout")).select("pid", "pos", "tid")
+
+
+def _seeded(spark, sf, k):
+    return continuation.recommend(_seeds(spark, sf), continuation.track_vectors(star.tracks(spark, sf)), k)
+
+
+@query
+def continue_seeded(spark, sf):
+    """Ten tracks for every challenge playlist with seeds."""
+    return rounded(_seeded(spark, sf, 10))
+
+
+@query
+def continue_seedless(spark, sf):
+    """500 tracks for every challenge playlist without seeds."""
+    info, members = star.playlists_info(spark, sf), star.playlists_tracks(spark, sf)
+    seeds = _seeds(spark, sf)
+    without = _challenge_parts(spark, sf)[0].filter(F.col("num_samples") == 0)
+    return rounded(continuation.continue_playlists(
+        without, seeds.join(without, "pid", "left_semi"), info, members, star.tracks(spark, sf)))
+
+
+@query
+def eval_metrics(spark, sf):
+    split = _challenge_parts(spark, sf)[1]
+    seeded = split.filter(~F.col("holdout")).select("pid")
+    held_out = split.filter("holdout").join(seeded, "pid", "left_semi")
+    return rounded(metrics.ranking_metrics(_seeded(spark, sf, 10), held_out, [1, 5, 10]))
