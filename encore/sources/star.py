@@ -12,11 +12,21 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from encore.functions.ids import stable_id
 
+# Declared, so that opening a table costs no job of its own.
+SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double",
+    "customer": "c_custkey long, c_mktsegment string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def tracks(spark: SparkSession, folder: str) -> DataFrame:
