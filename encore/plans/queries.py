@@ -12,6 +12,7 @@ from encore.operators import (
 from encore.operators.nearest import nearest_to_one
 from encore.plans import continuation
 from encore.sources import star
+from encore.sources.stage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,7 +60,7 @@ def ingest_playlists(spark, sf):
 
 @query
 def ingest_membership(spark, sf):
-    entries = ingest.entries(_slices(spark, sf))
+    entries = staged(ingest.entries(_slices(spark, sf)), "entries")
     return ingest.membership(entries, ingest.catalogue(entries))
 
 
@@ -265,10 +266,15 @@ def tfidf_hashed(spark, sf):
 
 # --- similarity ---------------------------------------------------------------------------------
 
+def _tables(spark, sf):
+    """Playlists and membership as tables on disk, which is how the longer jobs expect them."""
+    return staged(star.playlists_info(spark, sf), "info"), staged(star.playlists_tracks(spark, sf), "membership")
+
+
 def _pairs(weights=None):
     def run(spark, sf):
-        return rounded(playlist_pairs.most_similar_pairs(
-            star.playlists_tracks(spark, sf), star.playlists_info(spark, sf), weights=weights))
+        info, members = _tables(spark, sf)
+        return rounded(playlist_pairs.most_similar_pairs(members, info, weights=weights))
     return run
 
 
@@ -280,9 +286,9 @@ QUERIES["name_similarity_topk"] = _pairs({"name_similarity": 1.0})
 @query
 def nearest_playlist_by_name(spark, sf):
     """For every challenge playlist without seeds, the playlist with tracks whose name is closest."""
-    info, _ = _challenge_parts(spark, sf)
-    corpus = star.playlists_info(spark, sf).filter(F.col("num_tracks") > 0)
-    return rounded(names.nearest_by_name(info.filter(F.col("num_samples") == 0), corpus))
+    info, members = _tables(spark, sf)
+    targets = challenge.challenge_info(info, challenge.holdout_split(members)).filter(F.col("num_samples") == 0)
+    return rounded(names.nearest_by_name(targets, info.filter(F.col("num_tracks") > 0)))
 
 
 @query
@@ -314,33 +320,34 @@ def candidate_pool(spark, sf):
     return scope.candidate_pool(star.tracks(spark, sf).drop("part_key"), seeds)
 
 
-def _seeds(spark, sf):
-    return _challenge_parts(spark, sf)[1].filter(~F.col("holdout")).select("pid", "pos", "tid")
+def _split(spark, sf):
+    return staged(
+        challenge.holdout_split(star.playlists_tracks(spark, sf)).select("pid", "pos", "tid", "holdout"), "split")
 
 
-def _seeded(spark, sf, k):
-    return continuation.recommend(_seeds(spark, sf), continuation.track_vectors(star.tracks(spark, sf)), k)
+def _seeded(spark, sf, split, k):
+    seeds = split.filter(~F.col("holdout")).select("pid", "pos", "tid")
+    return continuation.recommend(seeds, continuation.track_vectors(star.tracks(spark, sf)), k)
 
 
 @query
 def continue_seeded(spark, sf):
     """Ten tracks for every challenge playlist with seeds."""
-    return rounded(_seeded(spark, sf, 10))
+    return rounded(_seeded(spark, sf, _split(spark, sf), 10))
 
 
 @query
 def continue_seedless(spark, sf):
     """500 tracks for every challenge playlist without seeds."""
-    info, members = star.playlists_info(spark, sf), star.playlists_tracks(spark, sf)
-    seeds = _seeds(spark, sf)
-    without = _challenge_parts(spark, sf)[0].filter(F.col("num_samples") == 0)
-    return rounded(continuation.continue_playlists(
-        without, seeds.join(without, "pid", "left_semi"), info, members, star.tracks(spark, sf)))
+    info, members = _tables(spark, sf)
+    split = challenge.holdout_split(members)
+    without = staged(challenge.challenge_info(info, split).filter(F.col("num_samples") == 0), "seedless")
+    seeds = split.filter(~F.col("holdout")).join(without, "pid", "left_semi")
+    return rounded(continuation.continue_playlists(without, seeds, info, members, star.tracks(spark, sf)))
 
 
 @query
 def eval_metrics(spark, sf):
-    split = _challenge_parts(spark, sf)[1]
-    seeded = split.filter(~F.col("holdout")).select("pid")
-    held_out = split.filter("holdout").join(seeded, "pid", "left_semi")
-    return rounded(metrics.ranking_metrics(_seeded(spark, sf, 10), held_out, [1, 5, 10]))
+    split = _split(spark, sf)
+    held_out = split.filter("holdout").join(split.filter("not holdout"), "pid", "left_semi")
+    return rounded(metrics.ranking_metrics(_seeded(spark, sf, split, 10), held_out, [1, 5, 10]))
