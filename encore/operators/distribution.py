@@ -4,6 +4,7 @@ Everything but the hexagons starts from `value_counts`: one scan and one map-sid
 aggregate reduce a table to (metric, value, n). The metrics are whole counts, so d distinct
 values add up to at least d^2/2; the counted table therefore has at most about
 sqrt(2 * total) rows per metric, and ordering it per metric stays cheap at any table size.
+(Times of last change come in whole days; they are only binned, never ordered.)
 """
 
 import math

@@ -304,6 +304,21 @@ ORACLE: dict[str, str] = {
         FROM vec q, vec t WHERE q.tid <> t.tid AND q.track_uri IN (
             SELECT track_uri FROM mem WHERE pos = 0 GROUP BY 1 ORDER BY count(*) DESC, track_uri LIMIT 10)
         QUALIFY rank <= 500""", "vec", "mem"),
+    "similar_tracks_tfidf": sql(f"""
+        SELECT tid, {r('c', 'cosine_similarity')}, row_number() OVER (ORDER BY c DESC, tid) AS rank
+        FROM (SELECT v.tid, round((coalesce(dot, 0) + v.d * s.d) / (sqrt(v.e + v.d * v.d) * sqrt(s.e + s.d * s.d)), 9) AS c
+              FROM tvec v JOIN (SELECT tvec.* FROM tvec JOIN seed USING (tid)) s ON v.tid <> s.tid
+              LEFT JOIN (SELECT x.tid, sum(x.w * y.w) AS dot
+                         FROM term x JOIN term y USING (field, token) JOIN seed ON seed.tid = y.tid GROUP BY 1) h
+                   ON h.tid = v.tid)
+        QUALIFY rank <= 500""", "mem",
+        seed="""SELECT tid FROM trk WHERE track_uri = (
+            SELECT track_uri FROM mem WHERE pos = 0 GROUP BY 1 ORDER BY count(*) DESC, track_uri LIMIT 1)""",
+        term="SELECT tid, field, token, tf * idf AS w FROM ("
+             + tfidf("trk", "tid", ["track_name", "album_name", "artist_name"]).replace(r("idf", "idf"), "idf") + ")",
+        tvec="""SELECT tid, any_value((duration_ms - lo)::DOUBLE / (hi - lo)) AS d, sum(w * w) AS e
+                FROM trk JOIN term USING (tid), (SELECT min(duration_ms) AS lo, max(duration_ms) AS hi FROM trk)
+                GROUP BY tid"""),
     "track_similarity_topk": sql(f"""
         SELECT q.tid AS tid_a, t.tid AS tid_b, q.track_name AS track_1, t.track_name AS track_2,
                q.artist_name AS artist_1, t.artist_name AS artist_2, q.album_name AS album_1, t.album_name AS album_2,

@@ -10,6 +10,7 @@ from encore.operators import (
     challenge, distribution, features, ingest, metrics, names, playlist_pairs, profile, scope, toplists,
 )
 from encore.operators.nearest import nearest_to_one
+from encore.operators.text_similarity import similar_by_text
 from encore.plans import continuation
 from encore.sources import star
 from encore.sources.stage import staged
@@ -299,6 +300,14 @@ def similar_tracks(spark, sf):
     return rounded(continuation.similar_tracks(tracks, scope.in_scope(tracks, top, "track_uri")))
 
 
+@query
+def similar_tracks_tfidf(spark, sf):
+    """The 500 tracks closest in words and duration to the most common opening track."""
+    tracks = star.tracks(spark, sf)
+    top = toplists.top_opening_tracks(star.playlists_tracks(spark, sf), tracks, k=1)
+    return rounded(similar_by_text(tracks, staged(scope.in_scope(tracks, top, "track_uri").select("tid"), "seed")))
+
+
 @query
 def track_similarity_topk(spark, sf):
     return rounded(continuation.most_similar_tracks(star.tracks(spark, sf)))
