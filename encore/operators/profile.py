@@ -32,11 +32,14 @@ def followers_threshold(info: DataFrame, quantile: float = CAP_QUANTILE) -> Colu
         distribution.value_counts(info, ["num_followers"]), {"threshold": quantile}).select("threshold").scalar()
 
 
+def with_followers_capped(info: DataFrame, quantile: float = CAP_QUANTILE) -> DataFrame:
+    """All columns, the threshold and the capped followers."""
+    return info.withColumn("threshold", followers_threshold(info, quantile)).withColumn(
+        "num_followers_capped", capped(F.col("num_followers"), F.col("threshold")))
+
+
 def followers_capped(info: DataFrame, quantile: float = CAP_QUANTILE) -> DataFrame:
-    threshold = followers_threshold(info, quantile)
-    return info.select(
-        "pid", "num_followers", threshold.alias("threshold"),
-        capped(F.col("num_followers"), threshold).alias("num_followers_capped"))
+    return with_followers_capped(info, quantile).select("pid", "num_followers", "threshold", "num_followers_capped")
 
 
 def without_follower_outliers(info: DataFrame, quantile: float = CAP_QUANTILE) -> DataFrame:

@@ -198,8 +198,7 @@ def kde_tracks(spark, sf):
 
 @query
 def box_stats(spark, sf):
-    capped = profile.followers_capped(star.playlists_info(spark, sf)).select("pid", "num_followers_capped")
-    table = star.playlists_info(spark, sf).join(capped, "pid")
+    table = profile.with_followers_capped(star.playlists_info(spark, sf))
     counts = distribution.value_counts(table, ["num_followers_capped", "num_artists", "num_albums", "num_tracks"])
     return rounded(distribution.box_summary(counts))
 
