@@ -1,30 +1,56 @@
 """Intermediate tables that several later steps read.
 
 They are written once to the shared folder named by `spark.checkpoint.dir`, so a lost executor
-never takes them along, lineage stays short, and the optimizer knows their true sizes.
+never takes them along, lineage stays short, and the optimizer knows their true sizes. `release`
+removes what a session has staged, once its results have been read.
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only for a session on this machine alone."""
+    """The session's checkpoint folder.
+
+    Where the setting is missing, a session on this machine alone gets a folder that goes when the
+    program ends; a cluster session is refused, as its executors could not see such a folder.
+    """
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="encore-stage-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, removed by `release`."""
+    path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def staged(table: DataFrame, label: str) -> DataFrame:
     """Write the table and return it as read back."""
-    path = f"{stage_folder(table.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(table.sparkSession, label)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove everything staged so far; results built on it must have been read. Returns how many paths went."""
+    files = spark._jvm.org.apache.hadoop.fs
+    gone = 0
+    while _written:
+        path = files.Path(_written.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
