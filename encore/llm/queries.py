@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.llm import hyperminhash, packing
+from encore.llm import hyperminhash, lines, packing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,11 +15,16 @@ def op4_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"))
 
 
+def op7_segment_join(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_classes(table(spark, folder, "documents"))
+
+
 def op10_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES = {
     "op4_sum_of_squares": op4_sum_of_squares,
+    "op7_segment_join": op7_segment_join,
     "op10_hyperminhash": op10_hyperminhash,
 }

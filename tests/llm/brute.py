@@ -53,3 +53,44 @@ def near_duplicates(rows, size=5, threshold=75):
                 links.add((e, d))
     found = components(sets, links)
     return sorted((d, len(s), found[d], found[d] == d) for d, s in sets.items())
+
+
+def edit_distance(a, b, most):
+    """The distance, or most + 1 if it is larger."""
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i] + [most + 1] * len(b)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != b[j - 1]))
+        row = new
+        if min(row[max(0, i - most):i + most + 1], default=0) > most:
+            return most + 1
+    return min(row[-1], most + 1)
+
+
+def line_classes(rows, edits=2, min_chars=40):
+    """(doc_id, line_no, n_chars, first_doc_id, first_line_no, kept) of (doc_id, text) rows with distinct ids."""
+    flat = [(d, i, x.strip()) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
+    first = {}
+    for d, i, x in sorted(flat):
+        if len(x) >= min_chars:
+            first.setdefault(x, (d, i))
+    by_length = {}
+    for x in first:
+        by_length.setdefault(len(x), []).append((x, {c: x.count(c) for c in set(x)}))
+    links = []
+    for n, held in by_length.items():
+        near = [(k, y) for k in range(n, n + edits + 1) for y in by_length.get(k, ())]
+        for at, (x, count) in enumerate(held):
+            for k, (y, other) in near:
+                if k == n and y <= x:
+                    continue
+                if sum(abs(count.get(c, 0) - other.get(c, 0)) for c in count.keys() | other.keys()) <= 2 * edits:
+                    if edit_distance(x, y, edits) <= edits:
+                        links.append((first[x], first[y]))
+    found = components(first.values(), links)
+    out = []
+    for d, i, x in flat:
+        f = found[first[x]] if len(x) >= min_chars else (d, i)
+        out.append((d, i, len(x), *f, f == (d, i)))
+    return sorted(out)
