@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.llm import hyperminhash, lines, packing, quality
+from encore.llm import decontaminate, hyperminhash, lines, packing, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op4_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"))
 
 
+def op5_seed_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"))
 
@@ -29,6 +33,7 @@ def op10_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op4_sum_of_squares": op4_sum_of_squares,
+    "op5_seed_alignment": op5_seed_alignment,
     "op6_line_rules": op6_line_rules,
     "op7_segment_join": op7_segment_join,
     "op10_hyperminhash": op10_hyperminhash,

@@ -23,6 +23,10 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: As LOWER, with every ASCII character that is neither letter nor digit as a space.
+BARE = LOWER.copy()
+BARE[[c for c in range(128) if not chr(c).isalnum()]] = 32
+
 #: Texts are worked on in runs of about so many bytes; a longer text is a run of its own.
 RUN_BYTES = 1 << 20
 _powers = {BASE: np.ones(1, dtype=np.uint64), INVERSE: np.ones(1, dtype=np.uint64)}
@@ -91,27 +95,35 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
 
 
-def word_hashes(column: pa.Array) -> Iterator[np.ndarray]:
-    """For each row, the hashes of its words in order."""
-    for _, data, bounds in runs(column):
-        data = LOWER[data]
+def run_words(column: pa.Array, letters: np.ndarray = LOWER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, hashes of all words, word bounds of the rows) for each run of rows; bytes are read as `letters` says."""
+    for row, data, bounds in runs(column):
+        data = letters[data]
         starts, ends = words(data, bounds)
-        hashes = stretch_hashes(prefix_sums(data), starts, ends)
-        cuts = np.searchsorted(starts, bounds)
+        yield row, stretch_hashes(prefix_sums(data), starts, ends), np.searchsorted(starts, bounds)
+
+
+def word_hashes(column: pa.Array, letters: np.ndarray = LOWER) -> Iterator[np.ndarray]:
+    """For each row, the hashes of its words in order."""
+    for _, hashes, cuts in run_words(column, letters):
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield hashes[a:b]
 
 
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of `size` words in a row, in order."""
+    n = max(0, len(hashes) - size + 1)
+    total = np.full(n, size, dtype=np.uint64)
+    for i in range(size):
+        total = mixed(total * np.uint64(BASE) + hashes[i:i + n])
+    return total
+
+
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of `size` words in a row; of fewer words, one for the whole sequence; of none, none."""
     if len(hashes) == 0:
         return hashes
-    size = min(size, len(hashes))
-    n = len(hashes) - size + 1
-    total = np.full(n, size, dtype=np.uint64)
-    for i in range(size):
-        total = mixed(total * np.uint64(BASE) + hashes[i:i + n])
-    return np.unique(total)
+    return np.unique(grams(hashes, min(size, len(hashes))))
 
 
 def digest(values: np.ndarray) -> bytes:
