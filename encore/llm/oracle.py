@@ -1,7 +1,8 @@
 """The same results in SQL, where SQL can say them in reasonable time over whole tables."""
 
-from encore.llm import quality
+from encore.llm import archives, quality
 
 ORACLE = {
+    "op1_zip_archives": archives.SQL,
     "op6_line_rules": quality.SQL,
 }

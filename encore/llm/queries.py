@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.llm import decontaminate, hyperminhash, lines, packing, quality
+from encore.llm import archives, decontaminate, extraction, hyperminhash, lines, packing, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_zip_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.archived(table(spark, folder, "pages"))
+
+
 def op4_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"))
 
@@ -27,14 +31,20 @@ def op7_segment_join(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_classes(table(spark, folder, "documents"))
 
 
+def op8_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.main_texts(table(spark, folder, "pages"))
+
+
 def op10_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op1_zip_archives": op1_zip_archives,
     "op4_sum_of_squares": op4_sum_of_squares,
     "op5_seed_alignment": op5_seed_alignment,
     "op6_line_rules": op6_line_rules,
     "op7_segment_join": op7_segment_join,
+    "op8_tree_scoring": op8_tree_scoring,
     "op10_hyperminhash": op10_hyperminhash,
 }
