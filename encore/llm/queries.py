@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.llm import archives, decontaminate, extraction, hyperminhash, lines, packing, quality
+from encore.llm import archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_zip_archives(spark: SparkSession, folder: str) -> DataFrame:
     return archives.archived(table(spark, folder, "pages"))
 
 
+def op3_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.private_spans(table(spark, folder, "documents"))
+
+
 def op4_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"))
 
@@ -41,6 +45,7 @@ def op10_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_zip_archives": op1_zip_archives,
+    "op3_weak_supervision": op3_weak_supervision,
     "op4_sum_of_squares": op4_sum_of_squares,
     "op5_seed_alignment": op5_seed_alignment,
     "op6_line_rules": op6_line_rules,
