@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.llm import archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality
+from encore.llm import (
+    archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality, toolcalls)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op1_zip_archives(spark: SparkSession, folder: str) -> DataFrame:
     return archives.archived(table(spark, folder, "pages"))
 
 
+def op2_tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
+    messages = toolcalls.as_messages(table(spark, folder, "conversations"))
+    return toolcalls.linked_calls(messages, toolcalls.tool_table(spark))
+
+
 def op3_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     return personal.private_spans(table(spark, folder, "documents"))
 
@@ -45,6 +51,7 @@ def op10_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_zip_archives": op1_zip_archives,
+    "op2_tool_call_linking": op2_tool_call_linking,
     "op3_weak_supervision": op3_weak_supervision,
     "op4_sum_of_squares": op4_sum_of_squares,
     "op5_seed_alignment": op5_seed_alignment,
