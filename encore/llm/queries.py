@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from encore.llm import (
-    archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality, toolcalls)
+    archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality, shards, toolcalls)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op8_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.main_texts(table(spark, folder, "pages"))
 
 
+def op9_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.materialised(table(spark, folder, "documents"))
+
+
 def op10_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -58,5 +62,6 @@ QUERIES = {
     "op6_line_rules": op6_line_rules,
     "op7_segment_join": op7_segment_join,
     "op8_tree_scoring": op8_tree_scoring,
+    "op9_training_order": op9_training_order,
     "op10_hyperminhash": op10_hyperminhash,
 }
