@@ -31,14 +31,15 @@ def _running(counts: DataFrame) -> DataFrame:
 
 def quantiles(counts: DataFrame, probabilities: dict[str, float]) -> DataFrame:
     """Exact quantiles per metric, linear between the two neighbouring order statistics."""
-    parts = []
-    for name, p in probabilities.items():
-        place = F.lit(p) * (F.col("total") - 1)
-        low = F.min(F.when(F.col("upto") > F.floor(place), F.col("value")))
-        high = F.min(F.when(F.col("upto") > F.ceil(place), F.col("value")))
-        share = F.max(place - F.floor(place))
-        parts.append((low + (high - low) * share).alias(name))
-    return _running(counts).groupBy("metric").agg(*parts)
+    return _running(counts).groupBy("metric").agg(*[_quantile(p).alias(n) for n, p in probabilities.items()])
+
+
+def _quantile(p: float, over=lambda part: part) -> Column:
+    """The quantile as an aggregate over running counts, or over a window."""
+    place = F.lit(p) * (F.col("total") - 1)
+    low = over(F.min(F.when(F.col("upto") > F.floor(place), F.col("value"))))
+    high = over(F.min(F.when(F.col("upto") > F.ceil(place), F.col("value"))))
+    return low + (high - low) * over(F.max(place - F.floor(place)))
 
 
 def _numbers(n: int) -> Column:
@@ -104,12 +105,17 @@ def density(counts: DataFrame, points: int = 200, cut: float = 0.0) -> DataFrame
 
 
 def box_summary(counts: DataFrame) -> DataFrame:
-    """Quartiles, whiskers at the last values inside 1.5 interquartile ranges, number of outliers."""
-    box = quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    """Quartiles, whiskers at the last values inside 1.5 interquartile ranges, number of outliers.
+
+    The counts are read once: the quartiles travel beside them.
+    """
+    whole = W.partitionBy("metric")
+    box = _running(counts).withColumns({
+        n: _quantile(p, lambda part: part.over(whole)) for n, p in {"q1": 0.25, "median": 0.5, "q3": 0.75}.items()})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
     return (
-        counts.join(box, "metric").groupBy("metric", "q1", "median", "q3")
+        box.groupBy("metric", "q1", "median", "q3")
         .agg(F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
              F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
              F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("n_outliers")))

@@ -16,24 +16,21 @@ from encore.sources.stage import staged
 INDEXED = {"album_name": "album_index", "artist_name": "artist_index", "track_name": "track_index"}
 TEXT_FIELDS = ["track_name", "album_name", "artist_name"]
 HASH_BUCKETS = 10_000
-RANGES = 128
 
 
-def frequency_index(table: DataFrame, columns: list[str], ranges: int = RANGES) -> DataFrame:
+def frequency_index(table: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
     """(field, value, index) for several columns: 0 for a column's most frequent value, ties alphabetical.
 
-    The order is global but no task sees more than one range of it: `ranges` distinct values,
-    picked by hash, cut the order into ranges; the rows before a range come from per-range counts.
+    The order is global but no task sees more than one range of it: Spark cuts the order into ranges, as many as
+    its shuffle partitions or `ranges`; the rows before a range come from per-range counts.
     """
     cells = [F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns]
     counted = staged(
         table.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
         .groupBy("field", "value").agg((-F.count(F.lit(1))).alias("place")), "value-counts")
-    key = F.struct("field", "place", "value")
-    cuts = (counted.orderBy(F.md5("value"), "field", "value").limit(ranges).select(key.alias("cut"))
-            .agg(F.sort_array(F.collect_list("cut"))).scalar())
-    ranged = counted.withColumn("cuts", cuts).select(
-        "field", "place", "value", F.size(F.filter("cuts", lambda cut: cut <= key)).cast("bigint").alias("range"))
+    key = ["field", "place", "value"]
+    spread = counted.repartitionByRange(ranges, *key) if ranges else counted.repartitionByRange(*key)
+    ranged = staged(spread.withColumn("range", F.spark_partition_id()), "value-ranges")
     before = W.partitionBy("field").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     # At most one row per range and column.
     offsets = ranged.groupBy("field", "range").agg(F.count(F.lit(1)).alias("size")).select(
@@ -96,6 +93,20 @@ def tfidf_terms(table: DataFrame, key: str, fields: list[str], stop_words: list[
         .select(key, "field", "token", "tf", idf.alias("idf"), (F.col("tf") * idf).alias("tfidf")))
 
 
+def unit_tfidf(tracks: DataFrame, fields: list[str] = TEXT_FIELDS, stop_words: list[str] | None = None) -> DataFrame:
+    """(tid, field, token, weight): each track as a vector of unit length, of the TF-IDF of its texts' exact terms and
+    its scaled duration (field `duration`, token empty). A track without length has weights of 0."""
+    limits = tracks.agg(F.struct(F.min("duration_ms").alias("lo"), F.max("duration_ms").alias("hi")).alias("s")).scalar()
+    scaled = _min_max(F.coalesce("duration_ms", F.lit(0).cast("bigint")).cast("double"),
+                      limits["lo"].cast("double"), limits["hi"].cast("double"))
+    terms = tfidf_terms(tracks, "tid", fields, stop_words).select("tid", "field", "token", F.col("tfidf").alias("weight"))
+    parts = staged(terms.unionByName(tracks.select(
+        "tid", F.lit("duration").alias("field"), F.lit("").alias("token"), scaled.alias("weight"))), "tfidf-parts")
+    length = parts.groupBy("tid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    return parts.join(length, "tid").select("tid", "field", "token", F.coalesce(
+        F.try_divide("weight", "length"), F.lit(0.0)).alias("weight"))
+
+
 def tfidf_stages(field: str, buckets: int = HASH_BUCKETS) -> list:
     return [
         Tokenizer(inputCol=field, outputCol=f"{field}_tokens"),

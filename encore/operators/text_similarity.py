@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from encore.functions.numbers import ratio
 from encore.operators.features import TEXT_FIELDS, tfidf_terms
+from encore.operators.nearest import only_row
 from encore.sources.stage import staged
 
 DIGITS = 9
@@ -13,9 +14,10 @@ def similar_by_text(tracks: DataFrame, seed: DataFrame, k: int = 500, stop_words
     """(tid, cosine_similarity, rank): the k tracks closest to the one track of `seed` (tid).
 
     A track is the vector of its TF-IDF weights in three fields and its min-max scaled duration.
-    The seed's few words meet each track's words once; every track takes part, shared words or not.
+    The seed's few words meet each track's words once; every track takes part, shared words or not. Several seeds
+    are refused.
     """
-    one = seed.select("tid").orderBy("tid").limit(1)
+    one = only_row(seed, "tid").select("one.tid").filter("tid IS NOT NULL")
     terms = staged(
         tfidf_terms(tracks, "tid", TEXT_FIELDS, stop_words).select("tid", "field", "token", "tfidf"), "track-terms")
     limits = tracks.agg(F.struct(F.min("duration_ms").alias("lo"), F.max("duration_ms").alias("hi")).alias("s")).scalar()

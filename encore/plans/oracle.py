@@ -115,6 +115,16 @@ def histogram(source: str, column: str, bins: int, where: str = "") -> str:
              range({bins}) g(i) {where}"""
 
 
+def kernel(column: str, source: str) -> str:
+    return f"""
+        SELECT i AS point, {r('max(lo + i * step)', 'x')},
+               {r('sum(n * exp(-0.5 * ((lo + i * step - v) / h) ** 2)) / (max(total) * max(h) * sqrt(2 * pi()))', 'density')}
+        FROM (SELECT {column}::DOUBLE AS v, count(*) AS n FROM {source} WHERE {column} IS NOT NULL GROUP BY 1),
+             (SELECT min({column})::DOUBLE AS lo, (max({column}) - min({column}))::DOUBLE / 199 AS step,
+                     stddev_samp({column}) * count({column}) ** -0.2 AS h, count({column}) AS total FROM {source}),
+             range(200) g(i) GROUP BY i"""
+
+
 def hexagons(x: str) -> str:
     return f"""
         SELECT {r('x0 + cu * sx', 'x_center')}, {r('y0 + cv * sy', 'y_center')}, count(*) AS n
@@ -142,7 +152,7 @@ def box(metric: str, column: str) -> str:
         GROUP BY q1, q2, q3"""
 
 
-def tfidf(source: str, key: str, fields: list[str]) -> str:
+def tfidf(source: str, key: str, fields: list[str], where: str = "") -> str:
     cells = " UNION ALL ".join(
         f"SELECT {key}, '{f}' AS field, unnest(regexp_split_to_array(lower({f}), '\\s')) AS token FROM {source}"
         for f in fields)
@@ -150,7 +160,7 @@ def tfidf(source: str, key: str, fields: list[str]) -> str:
         SELECT {key}, field, token, tf, {r('idf', 'idf')}, {r('tf * idf', 'tfidf')}
         FROM (SELECT *, ln((SELECT count(*) + 1 FROM {source})::DOUBLE
                            / (count(*) OVER (PARTITION BY field, token) + 1)) AS idf
-              FROM (SELECT {key}, field, token, count(*) AS tf FROM ({cells}) GROUP BY ALL))"""
+              FROM (SELECT {key}, field, token, count(*) AS tf FROM ({cells}) {where} GROUP BY ALL))"""
 
 
 C2 = "((1 + ln(1.5)) * (1 + ln(1.5)))"
@@ -271,13 +281,13 @@ ORACLE: dict[str, str] = {
     "hist_artists": sql(histogram("info", "num_artists", 30, "WHERE lo + (i + 1) * w >= 1 AND lo + i * w <= 250"), "info"),
     "hist_albums": sql(histogram("info", "num_albums", 30), "info"),
     "hist_tracks": sql(histogram("info", "num_tracks", 30, "WHERE lo + (i + 1) * w >= 1 AND lo + i * w <= 300"), "info"),
-    "kde_tracks": sql(f"""
-        SELECT i AS point, {r('max(lo + i * step)', 'x')},
-               {r('sum(n * exp(-0.5 * ((lo + i * step - v) / h) ** 2)) / (max(total) * max(h) * sqrt(2 * pi()))', 'density')}
-        FROM (SELECT num_tracks::DOUBLE AS v, count(*) AS n FROM info GROUP BY 1),
-             (SELECT min(num_tracks)::DOUBLE AS lo, (max(num_tracks) - min(num_tracks))::DOUBLE / 199 AS step,
-                     stddev_samp(num_tracks) * count(*) ** -0.2 AS h, count(*) AS total FROM info),
-             range(200) g(i) GROUP BY i""", "info"),
+    "kde_tracks": sql(kernel("num_tracks", "info"), "info"),
+    "kde_all": sql(" UNION ALL ".join(
+        [f"SELECT '{c}' AS metric, * FROM ({kernel(c, 'capped')})"
+         for c in ("num_followers_capped", "num_artists", "num_albums", "num_tracks")]
+        + [f"SELECT 'filtered {c}' AS metric, * FROM ({kernel(c, source)})" for c, source in (
+            ("num_followers", "few"), ("num_artists", "few"), ("num_albums", "few"), ("num_tracks", "few"),
+            ("modified_days", "(SELECT modified_at / 86400 AS modified_days FROM few)"))]), "capped", "few"),
     "box_stats": sql(" UNION ALL ".join(
         box(c, c) for c in ("num_followers_capped", "num_artists", "num_albums", "num_tracks")), "capped"),
     "hash_sample": sql("SELECT * FROM pts", "pts"),
@@ -291,6 +301,15 @@ ORACLE: dict[str, str] = {
         r(f"{v}{i + 1}", f"{p}_{k}") for v, k in (("s", "scaled"), ("v", "unit"))
         for i, p in enumerate(("album", "artist", "track", "duration"))) + " FROM vec", "vec"),
     "tfidf_track_text": sql(tfidf("trk", "tid", ["track_name", "album_name", "artist_name"]), "trk"),
+    "tfidf_unit": sql(f"""
+        SELECT tid, field, token, {r('coalesce(w / nullif(l, 0), 0)', 'weight')}
+        FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY tid)) AS l FROM part)""", "trk", part="""
+        SELECT tid, field, token, tf * idf AS w FROM ("""
+        + tfidf("trk", "tid", ["track_name", "album_name", "artist_name"],
+                "WHERE token NOT IN ('and', 'of', 'ring', 'the')").replace(r("idf", "idf"), "idf") + """)
+        UNION ALL
+        SELECT tid, 'duration', '', CASE WHEN hi = lo THEN 0.5 ELSE (duration_ms - lo)::DOUBLE / (hi - lo) END
+        FROM trk, (SELECT min(duration_ms) AS lo, max(duration_ms) AS hi FROM trk)"""),
     "tfidf_documents": sql(tfidf("documents", "doc_id", ["text"])),
     "playlist_similarity_topk": pairs((6 / 24, 6 / 24, 6 / 24, 1 / 24, 1 / 24, 4 / 24), SHARED_TRACK, 18 / 24),
     "playlist_overlap_topk": pairs((1 / 3, 1 / 3, 1 / 3, 0.0, 0.0, 0.0), SHARED_TRACK, 2 / 3),

@@ -5,7 +5,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
-from encore import schemas
 from encore.operators import (
     challenge, distribution, features, ingest, metrics, names, playlist_pairs, profile, scope, toplists,
 )
@@ -18,6 +17,7 @@ from encore.sources.stage import staged
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+STOP_WORDS = ["and", "of", "ring", "the"]
 NAME_KEYWORDS = ["ring", "gear", "plate", "rod", "widget"]
 
 
@@ -34,14 +34,9 @@ def rounded(table: DataFrame, digits: int = 6) -> DataFrame:
 
 # --- nested records to tables -------------------------------------------------------------------
 
-def _parsed(nested: DataFrame, schema) -> DataFrame:
-    """Through JSON text and the declared schema, as records arrive from files."""
-    return nested.select(F.to_json(F.struct("*")).alias("j")).select(
-        F.from_json("j", schema).alias("r")).select("r.*")
-
-
 def _slices(spark, sf):
-    return _parsed(star.nested_slices(star.playlists_info(spark, sf), star.playlists_tracks(spark, sf)), schemas.SLICE)
+    """Nested records as file readers give them; reading files themselves is left to the tests."""
+    return star.nested_slices(star.playlists_info(spark, sf), star.playlists_tracks(spark, sf))
 
 
 def _challenge_parts(spark, sf):
@@ -51,7 +46,7 @@ def _challenge_parts(spark, sf):
 
 def _challenge_records(spark, sf):
     info, split = _challenge_parts(spark, sf)
-    return _parsed(star.nested_challenge(info, split.filter(~F.col("holdout"))), schemas.CHALLENGE)
+    return star.nested_challenge(info, split.filter(~F.col("holdout")))
 
 
 @query
@@ -196,6 +191,18 @@ def kde_tracks(spark, sf):
     return rounded(distribution.density(_counts(spark, sf, "num_tracks")).drop("metric"))
 
 
+@query
+def kde_all(spark, sf):
+    """Densities of all four counts, followers capped, and of the five features without outliers."""
+    info = star.playlists_info(spark, sf)
+    every = distribution.value_counts(
+        profile.with_followers_capped(info), ["num_followers_capped", "num_artists", "num_albums", "num_tracks"])
+    few = distribution.value_counts(profile.outlier_filtered(info), {
+        f"filtered {c}": F.col(c) for c in ("num_followers", "num_artists", "num_albums", "num_tracks")
+    } | {"filtered modified_days": F.col("modified_at") / 86400})
+    return rounded(distribution.density(staged(every.unionByName(few), "density-counts")))
+
+
 @query
 def box_stats(spark, sf):
     table = profile.with_followers_capped(star.playlists_info(spark, sf))
@@ -254,14 +261,9 @@ def tfidf_documents(spark, sf):
 
 
 @query
-def tfidf_hashed(spark, sf):
-    """Length and number of non-zero entries of the hashed vectors."""
-    tracks = star.tracks(spark, sf)
-    vectors = features.hashed_tfidf(tracks, features.fit_tfidf(tracks))
-    from pyspark.ml.functions import vector_to_array
-    unit = F.filter(vector_to_array("normalized"), lambda x: x != 0)
-    return rounded(vectors.select("tid", F.size(unit).cast("bigint").alias("n_entries"), F.aggregate(
-        unit, F.lit(0.0), lambda acc, x: acc + x * x).alias("squared_length")))
+def tfidf_unit(spark, sf):
+    """Tracks as unit vectors of their texts without stop words, and their scaled duration."""
+    return rounded(features.unit_tfidf(star.tracks(spark, sf), stop_words=STOP_WORDS))
 
 
 # --- similarity ---------------------------------------------------------------------------------

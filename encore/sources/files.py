@@ -42,14 +42,25 @@ class Tables:
     playlists_test: DataFrame
 
 
+ORDER = {"tracks": ["track_uri"], "playlists_tracks": ["pid", "pos"], "playlists_test": ["pid", "pos"]}
+
+
+def read_table(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}")
+
+
 def read_tables(spark: SparkSession, folder: str) -> Tables:
-    return Tables(**{f.name: spark.read.parquet(f"{folder.rstrip('/')}/{f.name}") for f in fields(Tables)})
+    return Tables(**{f.name: read_table(spark, f.name, folder) for f in fields(Tables)})
+
+
+def write_table(table: DataFrame, name: str, folder: str) -> None:
+    """Overwrite one of the Parquet tables. Range order by id lets id filters skip files and row groups."""
+    keys = ORDER.get(name, ["pid"])
+    (table.repartitionByRange(*keys).sortWithinPartitions(*keys)
+     .write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}"))
 
 
 def write_tables(tables: Tables, folder: str) -> None:
-    """Overwrite the five Parquet tables. Range order by id lets id filters skip files and row groups."""
-    order = {"tracks": ["track_uri"], "playlists_tracks": ["pid", "pos"], "playlists_test": ["pid", "pos"]}
+    """Overwrite the five Parquet tables."""
     for f in fields(Tables):
-        table, keys = getattr(tables, f.name), order.get(f.name, ["pid"])
-        (table.repartitionByRange(*keys).sortWithinPartitions(*keys)
-         .write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{f.name}"))
+        write_table(getattr(tables, f.name), f.name, folder)

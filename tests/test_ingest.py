@@ -84,3 +84,22 @@ def test_unreadable_file_is_kept_apart(spark, folder):
 def test_playlist_without_tracks_has_no_entry(spark, folder):
     raw = files.read_slices(spark, str(folder))
     assert ingest.entries(raw).filter(F.col("pid") == 1).count() == 0
+
+
+@pytest.mark.parametrize("broken", ["set.slice.2-2.json", "challenge_set.json"])
+def test_truncated_file_fails_the_build(spark, folder, tmp_path, broken):
+    text = (folder / broken).read_text()
+    (folder / broken).write_text(text[:len(text) // 2])
+    out, challenge = str(tmp_path / "out"), str(folder / "challenge_set.json")
+    with pytest.raises(ValueError, match="1 files did not parse"):
+        build_tables(spark, str(folder), challenge, out)
+    reject, = spark.read.parquet(f"{out}/rejects").collect()
+    assert reject.file.endswith(broken)
+    tables = build_tables(spark, str(folder), challenge, out, skip_rejects=True)
+    assert tables.playlists_info.count() == (2 if "slice" in broken else 3)
+
+
+def test_id_collision_fails_the_build(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "stable_id", lambda uri: F.length(uri).cast("bigint"))
+    with pytest.raises(ValueError, match="same id"):
+        build_tables(spark, str(folder), str(folder / "challenge_set.json"), str(tmp_path / "out"))
