@@ -109,11 +109,10 @@ def bands(nodes: DataFrame, rows=ROWS) -> DataFrame:
     return nodes.select("node", "registers").mapInArrow(of, "bucket long, node binary")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float, registers: int) -> DataFrame:
-    """Pairs whose estimate leaves the threshold within reach, with the documents that stand for the nodes."""
-    side = nodes.select("node", "doc_id", "n_shingles", "registers")
-    both = (pairs.join(side.toDF("a", "doc_a", "n_a", "r_a"), "a")
-            .join(side.toDF("b", "doc_b", "n_b", "r_b"), "b"))
+def _likely(pairs: DataFrame, held: DataFrame, threshold: float, registers: int) -> DataFrame:
+    """Pairs whose estimate leaves the threshold within reach."""
+    side = held.select("node", "n_shingles", "registers")
+    both = pairs.join(side.toDF("a", "n_a", "r_a"), "a").join(side.toDF("b", "n_b", "r_b"), "b")
     floor = threshold - 6 * math.sqrt(threshold * (1 - threshold) / registers)
 
     def of(batches):
@@ -129,16 +128,29 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float, registers: int
             rough = np.minimum(n_a, n_b) < 2 * registers
             sizes = np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b)
             keep = pa.array(sizes & (rough | (estimate >= floor)))
-            yield pa.RecordBatch.from_arrays(
-                [column[c].filter(keep) for c in ("a", "b", "doc_a", "doc_b")], ["a", "b", "doc_a", "doc_b"])
+            yield pa.RecordBatch.from_arrays([column[c].filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    return both.mapInArrow(of, "a binary, b binary")
+
 
-    return both.mapInArrow(of, "a binary, b binary, doc_a long, doc_b long")
+def _own_texts(held: DataFrame, shingle: int) -> DataFrame:
+    """The rows whose text is the node's own; a doc_id with several texts has others too."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields)
+
+    def of(batches):
+        for batch in batches:
+            sets = (shingles(h, shingle) for h in word_hashes(batch.column("text")))
+            own = [digest(s) == node for s, node in zip(sets, batch.column("node").to_pylist())]
+            yield batch.filter(pa.array(own, pa.bool_()))
 
+    return held.mapInArrow(of, kinds).dropDuplicates(["node"])
 
-def _confirmed(likely: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Pairs whose full sets reach the threshold. texts: (doc_id, text); of repeated doc_ids the right text counts."""
+
+def _confirmed(likely: DataFrame, held: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
     whole = int(round(100 * threshold))
-    both = (likely.join(texts.toDF("doc_b", "text_b"), "doc_b").join(texts.toDF("doc_a", "text_a"), "doc_a")
+    side = held.select("node", "text")
+    both = (likely.join(side.toDF("b", "text_b"), "b").join(side.toDF("a", "text_a"), "a")
             .select("a", "b", "text_a", "text_b"))
 
     def of(batches):
@@ -146,14 +158,28 @@ def _confirmed(likely: DataFrame, texts: DataFrame, shingle: int, threshold: flo
             keep = []
             sets_b = (shingles(h, shingle) for h in word_hashes(batch.column(3)))
             sets_a = (shingles(h, shingle) for h in word_hashes(batch.column(2)))
-            for a, b, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_a, sets_b):
+            for s, t in zip(sets_a, sets_b):
                 common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(digest(s) == a and digest(t) == b and
-                            100 * common >= whole * (len(s) + len(t) - common) and common > 0)
+                keep.append(100 * common >= whole * (len(s) + len(t) - common) and common > 0)
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
-    return both.mapInArrow(of, "a binary, b binary").distinct()
+    return both.mapInArrow(of, "a binary, b binary")
+
+
+def similar_sets(asking: list[np.ndarray], others: list[np.ndarray], whole: int) -> Iterator[tuple[int, int]]:
+    """Positions of pairs of sets whose similarity is `whole` hundredths or more."""
+    sizes = np.array([len(x) for x in others], dtype=np.int64)
+    flat = np.concatenate(others) if others else np.zeros(0, dtype=np.uint64)
+    ends = np.cumsum(sizes)
+    for i, x in enumerate(asking):
+        if not len(x):
+            continue
+        held = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        upto = np.concatenate(([0], np.cumsum(held)))
+        common = upto[ends] - upto[ends - sizes]
+        for j in np.flatnonzero((common > 0) & (100 * common >= whole * (len(x) + sizes - common))):
+            yield i, int(j)
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=SHINGLE, threshold=THRESHOLD,
@@ -170,17 +196,26 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=S
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
         F.first("registers").alias("registers")), "nodes")
 
-    def linked(pairs):
-        likely = staged(_likely(pairs, nodes, threshold, registers), "likely")
-        return _confirmed(likely, texts, shingle, threshold)
+    def prepare(shared):
+        own = nodes.drop("copies").join(shared, "node", "left_semi").join(texts, "doc_id")
+        return staged(_own_texts(own, shingle), "candidates")
+
+    def linked(pairs, candidates):
+        likely = staged(_likely(pairs, candidates, threshold, registers), "likely")
+        return _confirmed(likely, candidates, shingle, threshold)
+
+    def compare(asking, others):
+        return similar_sets(*([shingles(h, shingle) for h in word_hashes(pa.array(x, pa.binary()))]
+                              for x in (asking, others)), int(round(100 * threshold)))
 
-    roots, _ = grouped(bands(nodes, rows), linked)
+    roots = grouped(bands(nodes, rows), prepare, linked, "text", compare)
     first = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component"))
     linked_nodes = roots.join(first, "root").select("node", "component")
     copied = nodes.filter("copies > 1").select("node", "doc_id")
     named = (copied.join(linked_nodes, "node", "full")
              .select("node", F.coalesce("component", "doc_id").alias("component")))
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    component = F.coalesce(component, "doc_id")
     return (held.select("doc_id", "n_shingles", "node").join(named, "node", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

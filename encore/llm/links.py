@@ -1,26 +1,37 @@
 """Groups of near copies from buckets of nodes, without forming the pairs of a bucket.
 
 A search puts every node into buckets such that two linked nodes share one. `grouped` finds the groups that all links
-together make, in two passes over the buckets:
-
-1. Every node of a bucket is checked against the bucket's smallest node.
-2. Where a bucket still holds nodes of several groups, the nodes outside its largest group are checked against all
-   nodes of other groups there. Two nodes of one group need no check, as their link could not change anything.
-
-So every pair that shares a bucket is either checked or already in one group, and a bucket of n near copies costs n
-checks. Minima and counts combine before the shuffle, and the joins are plain ones that adaptive execution can split.
+together make:
+
+1. In each bucket every node is checked against one hub, the node that shares most with others: in a crowd of near
+   copies that is the text they come from, and most of them are linked with it.
+2. Small buckets that still hold several groups: pairs of nodes of different groups are checked. A bucket of at most
+   `SMALL` nodes gives each node that many pairs at most.
+3. Large buckets that still hold several groups: the nodes outside a bucket's largest group are its strays. The
+   largest group, the strays of all buckets where it is the largest, and the other nodes there make a crowd; strays are
+   compared with the whole crowd block by block, as a query set with all rows. Rows are dealt out by block, and only
+   the links that are found leave a block.
+
+So every pair that shares a bucket is either checked or already in one group, and n near copies cost about n checks
+and a comparison with the strays among them. Two nodes of one group need no check, as their link could not change
+anything. Minima and counts combine before the shuffle, and the joins are plain ones that adaptive execution can split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.sources.stage import staged
 
 MAX_ROUNDS = 60
+#: Buckets up to this size are small. A block holds about so many strays, and so many rows of a crowd.
+SMALL = 24
+STRAYS, ROWS = 128, 512
+Compare = Callable[[list, list], Iterator[tuple[int, int]]]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,8 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
     round's edges are written, so the lineage stays short. Empty edges give an empty table.
     """
     edges = staged(_sorted_pairs(edges), "edges")
-    mark = _fingerprint(edges)
     for _ in range(MAX_ROUNDS):
+        if _are_stars(edges):
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
+                edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low"))
         large = both.join(low.select("a", F.least("a", "low").alias("low")), "a").filter(F.col("b") > F.col("a"))
@@ -40,50 +53,91 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "b")
         small = small.filter(F.col("a") != F.col("low")).select(F.col("low").alias("a"), F.col("a").alias("b")).union(
             small.select(F.col("low").alias("a"), "b"))
-        edges, before = staged(_sorted_pairs(small), "edges"), mark
-        mark = _fingerprint(edges)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
-        edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        edges = staged(_sorted_pairs(small), "edges")
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Count and two sums over the distinct edges; equal for equal edges."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, which is no larger end itself; each root is then its group's smallest."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+        edges.select(F.col("a").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    each = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return each.filter("below > 1 or below + above > 1").isEmpty()
 
 
 def _sorted_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def grouped(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of all nodes that have a link, and the links (a, b) that were confirmed.
+def grouped(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame],
+            linked: Callable[[DataFrame, DataFrame], DataFrame], payload: str, compare: Compare) -> DataFrame:
+    """(node, root) of all nodes that have a link; root is the smallest node of the group.
 
-    buckets: (bucket, node), each row once or more. linked: gets distinct pairs (a, b) with a < b, returns those that
-    are links.
+    buckets: (bucket, node), each row once or more. prepare: gets the nodes that share a bucket with others, returns
+    a written table with what a check needs of them. linked: gets distinct pairs (a, b) with a < b and that table,
+    returns the pairs that are links. compare: gets the column `payload` of two lists of nodes, and gives the pairs of
+    positions that are links.
     """
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
-    shared = staged(buckets.join(hubs.select("bucket", "hub"), "bucket").distinct(), "shared-buckets")
-    pairs = staged(shared.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(),
-                   "hub-pairs")
-    links = staged(linked(pairs).select("a", "b"), "hub-links")
-    roots = staged(components(links), "hub-roots")
+    several = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    shared = staged(buckets.join(several.select("bucket"), "bucket", "left_semi").distinct(), "shared-buckets")
+    held = prepare(shared.select("node").distinct())
+
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
+    weight = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = shared.join(weight, "node").groupBy("bucket").agg(
+        F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    tested = staged(_sorted_pairs(shared.join(hubs, "bucket").select(
+        F.col("node").alias("a"), F.col("hub").alias("b"))), "hub-pairs")
+    links = staged(linked(tested, held).select("a", "b"), "links")
+    roots = components(links)
 
     placed = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("bucket").agg(
-        F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
-    open_rows = staged(placed.join(mixed.select("bucket", "largest"), "bucket"), "open-buckets")
-    few = open_rows.filter("root <> largest").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-    met = few.join(open_rows.select("bucket", "node", "root"), "bucket").filter("rx <> root")
+        F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("size"),
+        F.count("*").alias("roots")).filter("roots > 1")
+    open_rows = staged(placed.join(mixed.select("bucket", "largest", "size"), "bucket"), "open-buckets")
+    small = open_rows.filter(F.col("size") <= SMALL).select("bucket", "node", "root", "largest")
+    few = small.filter("root <> largest").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
+    met = few.join(small, "bucket").filter((F.col("rx") != F.col("root")) & (
+        (F.col("root") == F.col("largest")) | (F.col("x") < F.col("node"))))
     across = _sorted_pairs(met.select(F.col("x").alias("a"), F.col("node").alias("b")))
-    across = staged(across.join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
-    more = staged(linked(across).select("a", "b"), "cross-links")
-    every = links.union(more)
-    if more.isEmpty():
-        return roots, every
-    star = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    return staged(components(star.union(more)), "roots"), every
+    across = staged(across.join(tested, ["a", "b"], "left_anti"), "cross-pairs")
+    more = staged(linked(across, held).select("a", "b").union(
+        _within_crowds(open_rows.filter(F.col("size") > SMALL), held, payload, compare)), "links")
+    return roots if more.isEmpty() else components(links.union(more))
+
+
+def _within_crowds(rows: DataFrame, held: DataFrame, payload: str, compare: Compare) -> DataFrame:
+    """Links (a, b) between strays and nodes of other groups; rows: (bucket, node, root, largest)."""
+    crowd = rows.groupBy("largest", "node").agg(
+        F.first("root").alias("root"), F.max(F.col("root") != F.col("largest")).alias("stray"))
+    crowd = staged(crowd.withColumnRenamed("largest", "crowd"), "crowds")
+    blocks = crowd.groupBy("crowd").agg(
+        F.ceil(F.count("*") / ROWS).cast("int").alias("row_blocks"),
+        F.ceil(F.count_if("stray") / STRAYS).cast("int").alias("stray_blocks"))
+    every = crowd.join(blocks, "crowd").join(held.select("node", F.col(payload).alias("payload")), "node")
+    own = F.xxhash64("node")
+
+    def dealt(table, asking, mine, other):
+        part = F.pmod(own, F.col(f"{mine}_blocks")).cast("int").alias(f"{mine}_block")
+        all_of = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
+        return table.select("crowd", "node", "root", "payload", F.lit(asking).alias("asks"), part, all_of)
+
+    both = dealt(every.filter("stray"), True, "stray", "row").unionByName(dealt(every, False, "row", "stray"))
+    kind = dict(rows.dtypes)["node"]
+
+    def of(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        a, b = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+        roots = [x.column("root").to_pylist() for x in (a, b)]
+        nodes = [x.column("node").to_pylist() for x in (a, b)]
+        # one link a stray and group is enough
+        found = {}
+        for i, j in compare(a.column("payload").to_pylist(), b.column("payload").to_pylist()):
+            if roots[0][i] != roots[1][j]:
+                found.setdefault((nodes[0][i], roots[1][j]), nodes[1][j])
+        kinds = table.schema.field("node").type
+        return pa.table({"a": pa.array([k[0] for k in found], kinds), "b": pa.array(list(found.values()), kinds)})
+
+    return both.groupBy("crowd", "row_block", "stray_block").applyInArrow(of, f"a {kind}, b {kind}")
