@@ -116,8 +116,9 @@ def cleaned(docs: DataFrame, text_col="text", min_words=MIN_WORDS) -> DataFrame:
     """The documents that are kept, without their failing lines; lines without a word stay."""
     table, names = _with_measures(docs, text_col)
     lines = F.filter(F.split(names["text"], "\n", -1), lambda x: ~_has_word(x) | ~fails(x))
-    return (table.filter(_verdict(table, names, min_words)["kept"])
-            .withColumn(text_col, F.array_join(lines, "\n")).select(*docs.columns))
+    own = F.struct(*[F.array_join(lines, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    # a generator instead of a filter: a filter would be pushed below the helper columns and compute them in its place
+    return table.select(F.inline(F.when(_verdict(table, names, min_words)["kept"], F.array(own))))
 
 
 #: `judged` over the table documents, in DuckDB's SQL.
