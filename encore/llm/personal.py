@@ -19,17 +19,18 @@ long runs neither overflow the stack nor take quadratic time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.sources.stage import staged
 
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns, with what keeps them linear; \G is where the match before ended.
+#: The base patterns, with what keeps them linear; \G is where the match before ended. Cards are whole runs
+#: of digits of the right number.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Looser patterns of candidates.
@@ -95,30 +96,11 @@ def passes(kind: str, value: Column) -> Column:
     return value.rlike(r"[A-Za-z0-9]$")
 
 
-def _placed(matches: Column, gaps: Column) -> Column:
-    """Spans (start, end, value, before, after) from the matches of a pattern and what it splits a text into."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
+def matches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(doc_id, row, and for each kind the base and the loose matches, in order); one row for each row of docs.
 
-    def add(acc, i):
-        gap, value = F.get(gaps, i), F.get(matches, i)
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(value)
-        span = F.struct(
-            start.alias("start"), end.alias("end"), value.alias("value"),
-            F.substring(gap, -CONTEXT, CONTEXT).alias("before"), F.substring(F.get(gaps, i + 1), 1, 1).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    places = F.sequence(F.lit(0), F.size(matches) - 1)
-    return F.when(F.size(matches) > 0, F.aggregate(places, first, add)["spans"]).otherwise(empty)
-
-
-def _checked(kind: str, spans: Column) -> Column:
-    return F.filter(spans, lambda s: passes(kind, s["value"]))
-
-
-def candidates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, row, and for each kind the base spans and the looser ones); one row for each row of docs."""
+    A match is (value, gap, before, after): gap is the length of the text since the match before.
+    """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
@@ -133,10 +115,34 @@ def candidates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             found[f"g_{name}_{k}"] = F.when(when[k], F.split(text, patterns[k], -1))
     # a projection of its own, as the lists are read once for each match
     held = plain.select("doc_id", *[v.alias(k) for k, v in found.items()])
-    spans = {f"{name}_{k}": _placed(F.col(f"m_{name}_{k}"), F.col(f"g_{name}_{k}"))
-             for name in ("base", "loose") for k in KINDS}
+
+    def own(name):
+        gaps = F.col(f"g_{name}")
+        return F.transform(f"m_{name}", lambda value, i: F.struct(
+            value.alias("value"), F.length(F.get(gaps, i)).alias("gap"),
+            F.substring(F.get(gaps, i), -CONTEXT, CONTEXT).alias("before"),
+            F.substring(F.get(gaps, i + 1), 1, 1).alias("after")))
+
     return held.select("doc_id", F.monotonically_increasing_id().alias("row"), *[
-        (_checked(n[5:], v) if n.startswith("base") else v).alias(n) for n, v in spans.items()])
+        own(f"{name}_{k}").alias(f"{name}_{k}") for name in ("base", "loose") for k in KINDS])
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """(row, kind, base, start, end, value, before, after) of the base matches that pass their check and all loose ones."""
+    out = None
+    for name in ("base", "loose"):
+        for k in KINDS:
+            part = found.select("row", F.lit(k).alias("kind"), F.lit(name == "base").alias("base"),
+                                F.posexplode(f"{name}_{k}").alias("at", "m"))
+            out = part if out is None else out.union(part)
+    upto = Window.partitionBy("row", "kind", "base").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("m.value")
+    placed = out.withColumn("end", F.sum(F.col("m.gap") + size).over(upto)).select(
+        "row", "kind", "base", (F.col("end") - size).alias("start"), "end", "m.value", "m.before", "m.after")
+    good = F.lit(False)
+    for k in KINDS:
+        good = F.when(F.col("kind") == k, passes(k, F.col("value"))).otherwise(good)
+    return placed.filter(~F.col("base") | good)
 
 
 def votes(kind: str, value: Column, before: Column, after: Column) -> Column:
@@ -149,28 +155,25 @@ def votes(kind: str, value: Column, before: Column, after: Column) -> Column:
         F.when(before.rlike(FOR[kind]), 1), F.when(before.rlike(AGAINST), 0), yes(free))
 
 
-def labelled(found: DataFrame) -> DataFrame:
+def labelled(every: DataFrame) -> DataFrame:
     """(row, kind, start, end, base, votes, features) of every candidate; loose ones only where no base span lies."""
-    out, every = None, F.concat(*[F.col(f"base_{x}") for x in KINDS])
-
-    def meets_none(s):
-        return ~F.exists(every, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-
+    order = Window.partitionBy("row").orderBy("start", F.desc("base"))
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    apart = every.withColumns({"base_end": before, "base_start": behind}).filter(
+        F.col("base") | ((F.coalesce("base_end", F.lit(0)) <= F.col("start"))
+                         & (F.coalesce("base_start", F.col("end")) >= F.col("end"))))
+    by_kind = F.lit(None)
     for k in KINDS:
-        base, apart = F.col(f"base_{k}"), F.filter(F.col(f"loose_{k}"), meets_none)
-        both = F.concat(F.transform(base, lambda s: F.struct(s.alias("s"), F.lit(True).alias("base"))),
-                        F.transform(apart, lambda s: F.struct(s.alias("s"), F.lit(False).alias("base"))))
-        part = found.select("row", F.inline(both)).select(
-            "row", F.lit(k).alias("kind"), "s.start", "s.end", "base",
-            votes(k, F.col("s.value"), F.col("s.before"), F.col("s.after")).alias("votes"),
-            F.concat(F.lit("length "), F.least(F.length("s.value"), F.lit(40)).cast("string")).alias("length"),
-            F.concat(F.lit("shape "), F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(
-                "s.value", "[A-Za-z]+", "a"), "[0-9]+", "9"), "(a9|9a)[a9]*", "x"), 1, 6)).alias("shape"))
-        out = part if out is None else out.union(part)
+        by_kind = F.when(F.col("kind") == k, votes(k, F.col("value"), F.col("before"), F.col("after"))).otherwise(by_kind)
+    shape = F.regexp_replace("value", "[A-Za-z]+", "a")
+    shape = F.regexp_replace(F.regexp_replace(shape, "[0-9]+", "9"), "(a9|9a)[a9]*", "x")
     voted = F.transform("votes", lambda v, i: F.concat(
         F.lit("vote "), i.cast("string"), F.lit(" "), F.coalesce(v.cast("string"), F.lit("-"))))
-    return out.select("row", "kind", "start", "end", "base", "votes",
-                      F.concat(voted, F.array("length", "shape")).alias("features"))
+    return apart.withColumn("votes", by_kind).select(
+        "row", "kind", "start", "end", "base", "votes", F.concat(voted, F.array(
+            F.concat(F.lit("length "), F.least(F.length("value"), F.lit(40)).cast("string")),
+            F.concat(F.lit("shape "), F.substring(shape, 1, 6)))).alias("features"))
 
 
 def _likelihood(votes: Column, model: Column) -> Column:
@@ -232,8 +235,11 @@ def added_spans(marked: DataFrame) -> DataFrame:
     judged = marked.join(reliabilities(marked), "kind").withColumn("p", posterior(F.col("votes"), F.col("model")))
     judged = staged(judged.drop("model"), "judged-candidates")
     odds = F.aggregate("features", F.col("bias"), lambda a, f: a + F.coalesce(F.try_element_at("weights", f), F.lit(0.0)))
-    return judged.filter("not base").join(classifier(judged), "kind").filter(odds >= 0).select(
-        "row", "kind", "start", "end")
+    taken = judged.filter("not base").join(classifier(judged), "kind").filter(odds >= 0)
+    # of those that overlap, the first stays
+    order = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    return taken.withColumn("before", F.max("end").over(order)).filter(
+        "before is null or before <= start").select("row", "kind", "start", "end")
 
 
 def private_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -241,27 +247,24 @@ def private_spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
 
     The counts and the hash are those of the base spans; spans lists all as kind:start:end.
     """
-    found = staged(candidates(docs, id_col, text_col), "candidates")
-    marked = staged(labelled(found), "labelled")
-    taken = added_spans(marked).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("taken"))
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-
-    def of_kind(k):
-        return F.transform(f"base_{k}", lambda s: F.struct(
-            s["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), s["end"].alias("end"), F.lit(k).alias("kind")))
-
-    base = F.concat(*[of_kind(k) for k in KINDS])
-    nothing = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    # of looser candidates that overlap, the leftmost stays
-    free = F.aggregate(
-        F.coalesce("taken", F.array().cast("array<struct<start:int,end:int,kind:string>>")), nothing,
-        lambda acc, s: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"] > s["start"], F.lit(False)), acc)
-        .otherwise(F.concat(acc, F.array(F.struct(
-            s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))))
-    said = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(
-        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    out = found.join(taken, "row", "left").withColumns({"all_base": base, "free": free})
+    found = staged(matches(docs, id_col, text_col), "matches")
+    marked = staged(labelled(staged(spans(found), "spans")), "labelled")
+    every = marked.filter("base").select("row", "kind", "start", "end", "base").unionByName(
+        added_spans(marked).withColumn("base", F.lit(False)))
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    own = every.withColumn("span", F.struct("start", rank.alias("rank"), "end", "kind"))
+    of_row = own.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("base"), F.col("span")))).alias("base"),
+        F.array_sort(F.collect_list("span")).alias("all"),
+        *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in KINDS],
+        F.count_if(~F.col("base")).alias("n_added"))
+
+    def said(column):
+        each = F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.coalesce(F.array_join(each, ","), F.lit(""))
+
+    out = found.select("row", "doc_id").join(of_row, "row", "left")
     return out.select(
-        "doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
-        F.sha2(said(F.col("all_base")).cast("binary"), 256).alias("base_sha256"),
-        said(F.concat("all_base", "free")).alias("spans"), F.size("free").cast("long").alias("n_added"))
+        "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS],
+        F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("all").alias("spans"),
+        F.coalesce("n_added", F.lit(0)).alias("n_added"))
