@@ -74,39 +74,50 @@ def probes(length: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, int, np
                 yield other, i, a, b, (a >= 0) & (b <= length) & (b > a) & (other > 0)
 
 
+def runs_of_lines(rows: Iterator[tuple[int, str | None]]) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """(row, line number, line) as three lists, for runs of rows of about RUN_BYTES characters."""
+    at, number, held, size = [], [], [], 0
+    for row, text in rows:
+        own = lines_of(text)
+        at += [row] * len(own)
+        number += range(len(own))
+        held += own
+        size += len(text or "")
+        if size >= RUN_BYTES:
+            yield at, number, held
+            at, number, held, size = [], [], [], 0
+    if held:
+        yield at, number, held
+
+
 def buckets(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(bucket, node) of the lines of (doc_id, text), a task's repeated lines left out."""
 
     def of(batches):
         seen: set[int] = set()
         for batch in batches:
-            held, size = [], 0
-            for text in batch.column(0):
-                new = [x for x in lines_of(text.as_py()) if len(x) >= min_chars]
-                held += new
-                size += sum(map(len, new))
-                if size >= RUN_BYTES:
-                    yield from keys(held, seen)
-                    held, size = [], 0
-            yield from keys(held, seen)
+            for _, _, lines in runs_of_lines(enumerate(x.as_py() for x in batch.column(0))):
+                yield from keys([x for x in lines if len(x) >= min_chars], seen)
 
     def keys(lines, seen):
-        fresh = dict(zip(hashed(lines).tolist(), lines)) if lines else {}
-        fresh = {n: x for n, x in fresh.items() if n not in seen}
+        if not lines:
+            return
+        points, bounds = code_points(lines)
+        sums = prefix_sums(points)
+        every = stretch_hashes(sums, bounds[:-1], bounds[1:]).view(np.int64)
+        node, at = np.unique(every, return_index=True)
+        fresh = np.array([x not in seen for x in node.tolist()], dtype=bool)
+        node, at = node[fresh], at[fresh]
         if len(seen) > SEEN:
             seen.clear()
-        seen.update(fresh)
-        if not fresh:
-            return
-        node = np.fromiter(fresh, dtype=np.int64, count=len(fresh))
-        points, bounds = code_points(list(fresh.values()))
-        sums, first, length = prefix_sums(points), bounds[:-1], np.diff(bounds)
+        seen.update(node.tolist())
+        first, length = bounds[at], bounds[at + 1] - bounds[at]
         for other, i, a, b, valid in probes(length, edits):
-            at = np.flatnonzero(valid)
-            if len(at):
-                key = stretch_hashes(sums, first[at] + a[at], first[at] + b[at])
-                key = mixed(key + mixed(other[at].astype(np.uint64) * np.uint64(MIX_2) + np.uint64(i)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[at])], ["bucket", "node"])
+            to = np.flatnonzero(valid)
+            if len(to):
+                key = stretch_hashes(sums, first[to] + a[to], first[to] + b[to])
+                key = mixed(key + mixed(other[to].astype(np.uint64) * np.uint64(MIX_2) + np.uint64(i)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[to])], ["bucket", "node"])
 
     return docs.select("text").mapInArrow(of, "bucket long, node long")
 
@@ -166,49 +177,41 @@ def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
 
     def of(batches):
         for batch in batches:
-            lines = [lines_of(x.as_py()) for x in batch.column(1)]
-            counts = np.array([len(x) for x in lines], dtype=np.int64)
-            flat = [x for own in lines for x in own]
-            size = np.array([len(x) for x in flat], dtype=np.int64)
-            node = pa.array(hashed(flat), mask=size < min_chars) if flat else pa.array([], pa.int64())
-            take = pa.array(np.repeat(np.arange(len(lines)), counts))
-            number = np.concatenate([np.arange(c) for c in counts] or [counts]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), pa.array(number), pa.array(size), node],
-                ["doc_id", "line_no", "n_chars", "node"])
+            for at, number, lines in runs_of_lines(enumerate(x.as_py() for x in batch.column(1))):
+                size = np.array([len(x) for x in lines], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at)), pa.array(number, pa.int32()), pa.array(size),
+                     pa.array(hashed(lines), mask=size < min_chars)], ["doc_id", "line_no", "n_chars", "node"])
 
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, line_no int, n_chars long, node long")
 
 
-def _texts(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(node, line) of the lines that are compared, a task's repeated lines left out."""
+def _lines(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(node, line) at the given (node, first), stripped; where a doc_id has several texts, the node's own line."""
+    own = places.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
+        F.collect_list(F.struct("node", F.col("first.line_no").alias("at"))).alias("places"))
+    lines = F.split("text", "\n", -1)
+    found = F.transform("places", lambda p: F.struct(p["node"].alias("node"), F.get(lines, p["at"]).alias("line")))
 
     def of(batches):
-        seen: set[int] = set()
         for batch in batches:
-            for text in batch.column(0):
-                lines = [x for x in lines_of(text.as_py()) if len(x) >= min_chars]
-                found = {n: x for n, x in zip(hashed(lines).tolist(), lines) if n not in seen} if lines else {}
-                if len(seen) > SEEN:
-                    seen.clear()
-                seen.update(found)
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())],
-                        ["node", "line"])
-
-    return docs.select("text").mapInArrow(of, "node long, line string")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    held = staged(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "lines")
+            texts = [(x or "").strip() for x in batch.column(1).to_pylist()]
+            right = pa.array(hashed(texts) == batch.column(0).to_numpy()) if texts else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(right), pa.array(texts, pa.string()).filter(right)], ["node", "line"])
+
+    every = docs.join(own, "doc_id").select(F.inline(found))
+    return every.mapInArrow(of, "node long, line string").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, held: DataFrame, edits: int) -> DataFrame:
+    """Pairs of lines within the distance."""
     both = (pairs.join(held.toDF("b", "line_b"), "b").join(held.toDF("a", "line_a"), "a")
             .select("a", "b", "line_a", "line_b"))
 
     def of(batches):
         for batch in batches:
-            near = [within(p.as_py(), t.as_py(), edits) for p, t in zip(batch.column(2), batch.column(3))]
+            near = [within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             near = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(near) for i in (0, 1)], ["a", "b"])
 
@@ -227,8 +230,13 @@ def line_classes(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
     place = F.struct("doc_id", "line_no")
     nodes = staged(compared.groupBy("node").agg(
         F.min(place).alias("first"), F.max(place).alias("last")), "line-nodes")
-    roots, _ = grouped(buckets(named, edits, min_chars),
-                       lambda pairs: _confirmed(pairs, _texts(named, min_chars), edits))
+    def compare(asking, others):
+        return ((i, j) for i, x in enumerate(asking) for j, y in enumerate(others) if within(x, y, edits))
+
+    roots = grouped(
+        buckets(named, edits, min_chars),
+        lambda shared: staged(_lines(named, nodes.join(shared, "node").select("node", "first")), "lines"),
+        lambda pairs, held: _confirmed(pairs, held, edits), "line", compare)
     first = roots.join(nodes, "node").groupBy("root").agg(F.min("first").alias("class_first"))
     alike = roots.join(first, "root").select("node", "class_first")
     repeated = nodes.filter("first <> last").join(alike, "node", "full").select(
