@@ -19,6 +19,7 @@ chance of 3 in 100.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -252,8 +253,9 @@ def line_classes(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
 def without_repeated_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
                            min_chars=MIN_CHARS) -> DataFrame:
     """`docs` without the lines that are not kept; other rows and columns as they were."""
+    key, lines = (next(n for i in count() if (n := f"{name}_{i}") not in docs.columns) for name in ("key", "lines"))
     gone = line_classes(docs, id_col, text_col, edits, min_chars).filter("not kept").groupBy(
-        F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    left = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return docs.join(gone, docs[id_col] == gone["_id"], "left").withColumn(text_col, text).drop("_id", "_gone")
+        F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(lines))
+    left = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(lines, i))
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    return docs.join(gone, docs[id_col] == gone[key], "left").withColumn(text_col, text).select(*docs.columns)

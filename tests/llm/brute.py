@@ -123,3 +123,86 @@ def base_spans(text):
             if good:
                 out.append((m.start(), rank, m.end(), kind))
     return sorted(out)
+
+
+def line_fails(line):
+    chars = sum(len(w) for w in WORD.findall(line))
+    n = len(WORD.findall(line))
+    symbols = sum(c in "#*$%&|<>" for c in line)
+    closed = re.search("[.!?:;…\"'”’»)\\]][\\x20\\x09-\\x0D]*$", line)
+    from encore.llm.quality import PHRASES, STOCK_LINE
+    return (symbols * 20 > chars or sum(c in "|>»›•·→" for c in line) >= 3 or (not closed and n < 8)
+            or (n <= STOCK_LINE and bool(re.search(f"(?i)({PHRASES})", line))))
+
+
+def quality(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) and the text that is left."""
+    text = text or ""
+    w = WORD.findall(text)
+    windows = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+    often = {x for x in windows if windows.count(x) > 1} if len(windows) < 400 else None
+    if often is None:
+        counts = {}
+        for x in windows:
+            counts[x] = counts.get(x, 0) + 1
+        often = {x for x, n in counts.items() if n > 1}
+    repeated = len({i + k for i, x in enumerate(windows) if x in often for k in range(3)})
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    seen, dup = set(), 0
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    chars = sum(map(len, w))
+    left = sum(len(v) for x in lines if not line_fails(x) for v in WORD.findall(x))
+    base_failed = len(w) < 50 or 100 * repeated > 50 * len(w)
+    rest = "\n".join(x for x in text.split("\n") if not WORD.search(x) or not line_fails(x))
+    return (len(w), chars, sum(c in "#*$%&|<>" for c in text), dup, repeated, base_failed,
+            not base_failed and 100 * left >= 50 * chars), rest
+
+
+def without_repeated_lines(rows, edits=2, min_chars=40):
+    gone = {(r[0], r[1]) for r in line_classes(rows, edits, min_chars) if not r[5]}
+    return [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)) for d, t in rows]
+
+
+def bare_words(text):
+    return re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", (text or "").lower())
+
+
+def alignment(p, t):
+    row, best = [0] * (len(t) + 1), 0
+    for x in p:
+        new = [0]
+        for j, y in enumerate(t):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, max(new))
+    return best
+
+
+def coded_alignment(p, t):
+    """The same by rows of numbers, for long texts."""
+    import numpy as np
+    t, row, best = np.array(t), np.zeros(len(t) + 1, dtype=int), 0
+    at = np.arange(len(t) + 1)
+    for x in p:
+        new = np.concatenate(([0], np.maximum(np.maximum(row[:-1] + np.where(t == x, 2, -1), row[1:] - 1), 0)))
+        row = np.maximum.accumulate(new + at) - at
+        best = max(best, int(row.max()))
+    return best
+
+
+def leaks(rows, items, least=0.5):
+    """Best score of each (doc_id, item_id) that reaches `least`, from all pairs."""
+    out, number = {}, {}
+    words = [(d, [number.setdefault(w, len(number)) for w in bare_words(t)]) for d, t in rows]
+    for i, text in items:
+        p = [number.get(w, -1 - k) for k, w in enumerate(bare_words(text))]
+        if len(p) < 3:
+            continue
+        for d, t in words:
+            held = set(t)
+            if sum(x in held for x in p) >= least * len(p):
+                score = coded_alignment(p, t) / (2 * len(p))
+                if score >= least:
+                    out[d, i] = score
+    return out

@@ -1,0 +1,94 @@
+"""Decontamination and the whole pipeline against plain versions of the stages."""
+
+import random
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+import brute
+import corpus_pipeline
+from conftest import collected
+from encore.llm import decontaminate
+from encore.llm.queries import QUERIES
+from encore.llm.tokens import document_ids, encoder
+
+
+@pytest.fixture(scope="module")
+def items(small):
+    t = pq.read_table(f"{small}/benchmark.parquet", columns=["item_id", "text"]).to_pydict()
+    return list(zip(t["item_id"], t["text"]))
+
+
+def best(table):
+    out = {}
+    for r in table.collect():
+        out[r.doc_id, r.item_id] = max(r.score, out.get((r.doc_id, r.item_id), 0))
+    return out
+
+
+def test_alignments_agree():
+    rng = random.Random(6)
+    for _ in range(200):
+        p, t = ([rng.randint(0, 5) for _ in range(rng.randint(1, n))] for n in (8, 30))
+        score, end = decontaminate.best_alignment(np.array(p), np.array(t))
+        assert score == brute.alignment(p, t) == brute.coded_alignment(p, t) and score == brute.alignment(p, t[:end])
+
+
+def test_leaks_of_all_documents(spark, small, rows, items):
+    assert best(QUERIES["op5_seed_alignment"](spark, small)) == pytest.approx(brute.leaks(rows, items))
+
+
+def test_edited_copies(spark, items):
+    rng, rows = random.Random(5), []
+    for n, (i, text) in enumerate(items[:30]):
+        words = text.split()
+        for k in rng.sample(range(len(words)), len(words) // 8):
+            words[k] = rng.choice(["changed", "words,", "the"])
+        rows.append((n, "before " * 30 + " ".join(words).upper() + " after" * 30))
+    rows += [(100 + n, " ".join(random.Random(n).choices(" ".join(t for _, t in items).split(), k=300))) for n in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = spark.createDataFrame(items, "item_id long, text string")
+    got, want = best(decontaminate.leaks(docs, held)), brute.leaks(rows, items)
+    assert got == pytest.approx(want) and {d for d, _ in got} >= set(range(30)) and not {d for d, _ in got if d >= 100}
+    for blocks in (7, 500):
+        assert best(decontaminate.leaks(docs, held, block_grams=blocks)) == pytest.approx(want)
+    spans = decontaminate.leaks(docs, held).filter("doc_id = 3 and score > 0.6").first()
+    assert 30 <= spans.start_word < spans.end_word <= 30 + len(brute.bare_words(items[3][1])) + 2
+
+
+def test_odd_rows(odd, odd_rows, none, spark):
+    text = brute.words(odd_rows[3][1])
+    held = spark.createDataFrame([(1, " ".join(text)), (1, " ".join(text)), (2, None), (3, "a b"), (None, "")],
+                                 "item_id long, text string")
+    got = decontaminate.leaks(odd, held)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(d, 1) for d in (4, 5, 6, 12, None)}
+    assert decontaminate.leaks(none, held).collect() == []
+    assert decontaminate.leaks(odd, held.limit(0)).collect() == []
+    left = decontaminate.without_leaks(odd, held)
+    assert left.columns == odd.columns and {r.doc_id for r in left.collect()} == {1, 2, 3, 7, 8, 9, 10, 11, 13, 14, 15, None}
+
+
+def test_whole_pipeline(spark, small, rows, items):
+    docs = [(d, m) for d, m in rows]
+    docs = [(d, rest) for d, t in docs for m, rest in [brute.quality(t)] if m[-1]]
+    docs = [(d, t) for d, t in brute.without_repeated_lines(docs) if brute.words(t)]
+    kept = {r[0] for r in brute.near_duplicates(docs) if r[3]}
+    docs = [(d, t) for d, t in docs if d in kept]
+    leaked = {d for d, _ in brute.leaks(docs, items)}
+    docs = [(d, t) for d, t in docs if d not in leaked]
+    got = corpus_pipeline.run(spark, small).collect()
+    encode, size = encoder(), {}
+    for r in got:
+        size[r.doc_id] = size.get(r.doc_id, 0) + r.length
+    assert size == {d: len(document_ids(t, encode)) for d, t in docs}
+    assert len(docs) > 100
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, small, odd_rows, name, stage):
+    docs = spark.createDataFrame([(d, t, None, "s", None) for d, t in odd_rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = stage(spark, docs, small)
+    assert name == "best_fit_packing" or out.columns == corpus_pipeline.COLUMNS
+    assert collected(out) is not None and stage(spark, docs.limit(0), small).collect() == []
