@@ -9,8 +9,8 @@
    alignment with itself. `least` of it makes a leak.
 
 Grams of the benchmark are sent to the tasks in blocks of at most `block_grams`, one pass over the documents for each
-block, so a large benchmark costs passes, not memory. Words are runs of letters, digits and non-ASCII characters, A-Z as
-a-z. Defined cases: an item of fewer than three words has no seed and is never found; null and blank texts match
+block, so a large benchmark costs passes, not memory. Words are runs of letters, digits and non-ASCII characters, in lower
+case. Defined cases: an item of fewer than three words has no seed and is never found; null and blank texts match
 nothing; rows of a repeated doc_id or item_id are matched each; a null doc_id is kept; extra columns are ignored by
 `leaks` and kept by `without_leaks`.
 """
@@ -35,7 +35,7 @@ BLOCK_GRAMS = 1 << 20
 
 
 def _plain(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return table.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return table.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).cast("binary").alias("text"))
 
 
 def item_table(benchmark: DataFrame, seed_words: int) -> DataFrame:
