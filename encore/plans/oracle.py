@@ -240,6 +240,22 @@ MEM = "pid, pos, tid, track_uri, track_name, album_name, album_uri, artist_name,
 CAT = "tid, track_uri, track_name, album_name, album_uri, artist_name, artist_uri, duration_ms"
 FEATURES = ["num_followers", "num_artists", "num_albums", "num_tracks", "modified_at"]
 
+def metrics_sql(ks: str, *tables: str, **local: str) -> str:
+    """Ranking metrics of the list `rec` against `labels_of`, at each length of `ks`."""
+    return sql(f"""
+        SELECT k, {r('avg(hits / k)', 'precision')}, {r('avg(hits / n)', 'recall')},
+               {r('avg(ap / least(n, k))', 'map')}, {r('avg(dcg / ideal)', 'ndcg')}, count(*) AS n_playlists
+        FROM (SELECT ks.k, lab.pid, n, coalesce(count(h.rank), 0)::DOUBLE AS hits, coalesce(sum(h.nth / h.rank), 0) AS ap,
+                     coalesce(sum(1 / log2(h.rank + 1)), 0) AS dcg,
+                     (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, ks.k) + 1) g(i)) AS ideal
+              FROM {ks} ks(k),
+                   (SELECT pid, count(*) AS n FROM labels_of GROUP BY pid) lab
+              LEFT JOIN (SELECT pid, rank, row_number() OVER (PARTITION BY pid ORDER BY rank)::DOUBLE AS nth
+                         FROM rec JOIN labels_of USING (pid, tid)) h ON h.pid = lab.pid AND h.rank <= ks.k
+              GROUP BY ks.k, lab.pid, n)
+        GROUP BY k""", *tables, **local)
+
+
 ORACLE: dict[str, str] = {
     "ingest_playlists": sql("SELECT * FROM info", "info"),
     "ingest_membership": sql(f"SELECT {MEM} FROM mem", "mem"),
@@ -356,17 +372,16 @@ ORACLE: dict[str, str] = {
                              near=NEAREST, own=OWN, q=f"""
         SELECT target_pid AS pid, {MEAN} FROM near JOIN mem USING (pid) JOIN vec USING (tid) GROUP BY 1""",
                              rec=recommended(500)),
-    "eval_metrics": sql(f"""
-        SELECT k, {r('avg(hits / k)', 'precision')}, {r('avg(hits / n)', 'recall')},
-               {r('avg(ap / least(n, k))', 'map')}, {r('avg(dcg / ideal)', 'ndcg')}, count(*) AS n_playlists
-        FROM (SELECT ks.k, lab.pid, n, coalesce(count(h.rank), 0)::DOUBLE AS hits, coalesce(sum(h.nth / h.rank), 0) AS ap,
-                     coalesce(sum(1 / log2(h.rank + 1)), 0) AS dcg,
-                     (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, ks.k) + 1) g(i)) AS ideal
-              FROM (VALUES (1::BIGINT), (5), (10)) ks(k),
-                   (SELECT pid, count(*) AS n FROM labels_of GROUP BY pid) lab
-              LEFT JOIN (SELECT pid, rank, row_number() OVER (PARTITION BY pid ORDER BY rank)::DOUBLE AS nth
-                         FROM rec JOIN labels_of USING (pid, tid)) h ON h.pid = lab.pid AND h.rank <= ks.k
-              GROUP BY ks.k, lab.pid, n)
-        GROUP BY k""", "vec", "spl", **SEEDED, labels_of="""
+    "continue_seeded_lists": sql(f"""
+        SELECT pid, count(*) AS n_tracks, md5(string_agg(tid::VARCHAR, ',' ORDER BY rank)) AS tids_md5,
+               {r('sum(score)', 'score_sum', 5)}
+        FROM rec GROUP BY pid""", "vec", "spl", **dict(SEEDED, rec=recommended(500))),
+    "eval_metrics": metrics_sql("(VALUES (1::BIGINT), (5), (10))", "vec", "spl", **SEEDED, labels_of="""
         SELECT DISTINCT pid, tid FROM spl WHERE holdout AND pid IN (SELECT pid FROM own)"""),
+    "eval_metrics_all": metrics_sql(
+        "(VALUES (1::BIGINT), (10), (100), (500))", "vec", "chal", "wrd", **NAME_PARTS, near=NEAREST, own=OWN, q=f"""
+        SELECT pid, {MEAN} FROM (
+            SELECT pid, tid FROM spl WHERE NOT holdout
+            UNION ALL SELECT target_pid AS pid, tid FROM near JOIN mem USING (pid)) JOIN vec USING (tid) GROUP BY pid""",
+        rec=recommended(500), labels_of="SELECT DISTINCT pid, tid FROM spl WHERE holdout"),
 }

@@ -346,6 +346,16 @@ def continue_seeded(spark, sf):
     return rounded(_seeded(spark, sf, _split(spark, sf), 10))
 
 
+@query
+def continue_seeded_lists(spark, sf):
+    """The full lists of 500 for every challenge playlist with seeds, one row a playlist: length, order and scores."""
+    found = _seeded(spark, sf, _split(spark, sf), 500)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "tid"))), lambda x: x["tid"].cast("string"))
+    return rounded(found.groupBy("pid").agg(
+        F.count(F.lit(1)).alias("n_tracks"), F.md5(F.array_join(listed, ",")).alias("tids_md5"),
+        F.sum("score").alias("score_sum")), 5)
+
+
 @query
 def continue_seedless(spark, sf):
     """500 tracks for every challenge playlist without seeds."""
@@ -361,3 +371,13 @@ def eval_metrics(spark, sf):
     split = _split(spark, sf)
     held_out = split.filter("holdout").join(split.filter("not holdout"), "pid", "left_semi")
     return rounded(metrics.ranking_metrics(_seeded(spark, sf, split, 10), held_out, [1, 5, 10]))
+
+
+@query
+def eval_metrics_all(spark, sf):
+    """Metrics of the full lists over every playlist with held-out tracks, those without seeds among them."""
+    info, members = _tables(spark, sf)
+    split = staged(challenge.holdout_split(members).select("pid", "pos", "tid", "holdout"), "split")
+    every = staged(challenge.challenge_info(info, split), "challenge")
+    found = continuation.continue_playlists(every, split.filter("not holdout"), info, members, star.tracks(spark, sf))
+    return rounded(metrics.ranking_metrics(found, split.filter("holdout"), [1, 10, 100, 500]))

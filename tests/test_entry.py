@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, canonical
+from encore.plans.queries import QUERIES
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"]
 
@@ -43,7 +44,7 @@ def staged_plans(monkeypatch):
     return plans
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, small, db, staged_plans, name):
     result = entry.queries()[name](spark, small)
     columns = sorted(result.columns)
