@@ -288,12 +288,15 @@ def payload_digests(records: DataFrame) -> DataFrame:
 
     seen = staged(records.mapInArrow(
         of, "record_type string, record_id string, refers_to string, size long, digest string"), "records")
-    response = seen.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(
-        F.first("size").alias("full_size"), F.first("digest").alias("full_digest"))
+    response = seen.filter("record_type = 'response'")
+    full = response.groupBy(F.col("record_id").alias("refers_to")).agg(
+        F.first("size").alias("size"), F.first("digest").alias("digest"))
+    # only revisits are joined: responses refer to nothing, and their null would be one key
+    revisit = seen.filter("record_type <> 'response'").drop("size", "digest").join(full, "refers_to", "left")
     page = lambda c: F.expr(f"try_cast(substr({c}, {len(ID) + 1}) AS long)")
-    return seen.join(response, "refers_to", "left").select(
-        page("record_id").alias("page_id"), F.coalesce("size", "full_size").alias("payload_bytes"),
-        F.coalesce("digest", "full_digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+    return response.unionByName(revisit).select(
+        page("record_id").alias("page_id"), F.col("size").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 
 def archived(pages: DataFrame, **of) -> DataFrame:
