@@ -7,10 +7,11 @@ behind it allow. So a line enters the bucket of each of its own segments and pro
 matched with, the few substrings that can hold such a segment. Lines that share a bucket are candidates; common ends
 are cut off, and a bit-parallel edit distance over a band of 2 threshold + 1 diagonals confirms the rest.
 
-The first line of a class, by doc_id and line number, is kept. Lines shorter than `min_chars` are left alone: headings
-and single words repeat without being boilerplate.
+The first line of a class, by doc_id and line number, is kept. Copies of a line are found at any length. Lines that
+differ are compared under a threshold of one edit for each CHARS_AN_EDIT characters of the longer one, `edits` at most:
+the segments are never empty, and words of a few letters are not linked because they are short.
 
-Defined cases: a null text has no lines, an empty one a single empty line. Rows without a doc_id keep all their lines.
+Defined cases: a null text has no lines, an empty one a single empty line; lines without a word are left alone. Rows without a doc_id keep all their lines.
 Rows that repeat a doc_id and its text count as one document. Extra columns are ignored by `line_classes` and kept by
 `without_repeated_lines`. Lines are told apart by 64-bit hashes: among 10^9 lines, two different ones meet with a
 chance of 3 in 100.
@@ -31,7 +32,7 @@ from encore.llm.texts import MIX_2, RUN_BYTES, mixed, prefix_sums, stretch_hashe
 from encore.sources.stage import staged
 
 EDITS = 2
-MIN_CHARS = 40
+CHARS_AN_EDIT = 20
 #: A task forgets which lines it has seen beyond so many, which only repeats some rows.
 SEEN = 1 << 19
 
@@ -91,14 +92,15 @@ def runs_of_lines(rows: Iterator[tuple[int, str | None]]) -> Iterator[tuple[list
         yield at, number, held
 
 
-def buckets(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def buckets(docs: DataFrame, edits: int) -> DataFrame:
     """(bucket, node) of the lines of (doc_id, text), a task's repeated lines left out."""
+    least = CHARS_AN_EDIT - 1
 
     def of(batches):
         seen: set[int] = set()
         for batch in batches:
             for _, _, lines in runs_of_lines(enumerate(x.as_py() for x in batch.column(0))):
-                yield from keys([x for x in lines if len(x) >= min_chars], seen)
+                yield from keys([x for x in lines if len(x) >= least], seen)
 
     def keys(lines, seen):
         if not lines:
@@ -113,12 +115,19 @@ def buckets(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
             seen.clear()
         seen.update(node.tolist())
         first, length = bounds[at], bounds[at + 1] - bounds[at]
-        for other, i, a, b, valid in probes(length, edits):
-            to = np.flatnonzero(valid)
-            if len(to):
-                key = stretch_hashes(sums, first[to] + a[to], first[to] + b[to])
-                key = mixed(key + mixed(other[to].astype(np.uint64) * np.uint64(MIX_2) + np.uint64(i)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[to])], ["bucket", "node"])
+        for k in range(1, edits + 1):
+            # the lines whose threshold is k, and those that are up to k characters shorter than one of them
+            mine = length >= CHARS_AN_EDIT * k - k
+            if k < edits:
+                mine &= length < CHARS_AN_EDIT * (k + 1)
+            for other, i, a, b, valid in probes(length, k):
+                to = np.flatnonzero(valid & mine)
+                if len(to):
+                    key = stretch_hashes(sums, first[to] + a[to], first[to] + b[to])
+                    place = np.uint64(i * (edits + 1) + k)
+                    key = mixed(key + mixed(other[to].astype(np.uint64) * np.uint64(MIX_2) + place))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(node[to])], ["bucket", "node"])
 
     return docs.select("text").mapInArrow(of, "bucket long, node long")
 
@@ -173,8 +182,14 @@ def within(p: str, t: str, edits: int) -> bool:
     return distance <= edits
 
 
-def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line_no, n_chars, node) of all lines; node is null for lines that are left alone."""
+def close(p: str, t: str, edits: int) -> bool:
+    """Whether two lines are within the threshold of the longer one."""
+    most = min(edits, max(len(p), len(t)) // CHARS_AN_EDIT)
+    return most > 0 and within(p, t, most)
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, n_chars, node) of all lines; node is null for lines without a word."""
 
     def of(batches):
         for batch in batches:
@@ -182,7 +197,7 @@ def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
                 size = np.array([len(x) for x in lines], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at)), pa.array(number, pa.int32()), pa.array(size),
-                     pa.array(hashed(lines), mask=size < min_chars)], ["doc_id", "line_no", "n_chars", "node"])
+                     pa.array(hashed(lines), mask=size == 0)], ["doc_id", "line_no", "n_chars", "node"])
 
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, line_no int, n_chars long, node long")
 
@@ -212,30 +227,30 @@ def _confirmed(pairs: DataFrame, held: DataFrame, edits: int) -> DataFrame:
 
     def of(batches):
         for batch in batches:
-            near = [within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            near = [close(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             near = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(near) for i in (0, 1)], ["a", "b"])
 
     return both.mapInArrow(of, "a long, b long")
 
 
-def line_classes(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS, min_chars=MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS) -> DataFrame:
     """(doc_id, line_no, n_chars, first_doc_id, first_line_no, kept), one row for each line of each document.
 
     The first line is that of the smallest doc_id, then line number, in the line's class; kept says it is this line.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(line_table(docs, min_chars), "line-table")
+    rows = staged(line_table(docs), "line-table")
     compared = rows.filter("node is not null and doc_id is not null")
     named = docs.filter("doc_id is not null")
     place = F.struct("doc_id", "line_no")
     nodes = staged(compared.groupBy("node").agg(
         F.min(place).alias("first"), F.max(place).alias("last")), "line-nodes")
     def compare(asking, others):
-        return ((i, j) for i, x in enumerate(asking) for j, y in enumerate(others) if within(x, y, edits))
+        return ((i, j) for i, x in enumerate(asking) for j, y in enumerate(others) if close(x, y, edits))
 
     roots = grouped(
-        buckets(named, edits, min_chars),
+        buckets(named, edits),
         lambda shared: staged(_lines(named, nodes.join(shared, "node").select("node", "first")), "lines"),
         lambda pairs, held: _confirmed(pairs, held, edits), "line", compare)
     first = roots.join(nodes, "node").groupBy("root").agg(F.min("first").alias("class_first"))
@@ -250,11 +265,10 @@ def line_classes(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
         (F.col("found.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("found.line_no") == F.col("line_no"))).alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS,
-                           min_chars=MIN_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS) -> DataFrame:
     """`docs` without the lines that are not kept; other rows and columns as they were."""
     key, lines = (next(n for i in count() if (n := f"{name}_{i}") not in docs.columns) for name in ("key", "lines"))
-    gone = line_classes(docs, id_col, text_col, edits, min_chars).filter("not kept").groupBy(
+    gone = line_classes(docs, id_col, text_col, edits).filter("not kept").groupBy(
         F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(lines))
     left = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(lines, i))
     text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
