@@ -11,6 +11,11 @@ The first line of a class, by doc_id and line number, is kept. Copies of a line
 differ are compared under a threshold of one edit for each CHARS_AN_EDIT characters of the longer one, `edits` at most:
 the segments are never empty, and words of a few letters are not linked because they are short.
 
+Longer lines are also compared word by word: two lines are alike if one edit for each WORDS_AN_EDIT words of the longer
+one turns one into the other, however long they are. Such lines share a stretch of GRAM + WINDOW - 1 words, and the
+rarest hash among the grams of each such stretch goes to a bucket of its own, together with the level of the line's
+length and the part of the line it lies in; near the edge of a level or part it goes to the next one as well.
+
 Defined cases: a null text has no lines, an empty one a single empty line; lines without a word are left alone. Rows without a doc_id keep all their lines.
 Rows that repeat a doc_id and its text count as one document. Extra columns are ignored by `line_classes` and kept by
 `without_repeated_lines`. Lines are told apart by 64-bit hashes: among 10^9 lines, two different ones meet with a
@@ -19,7 +24,8 @@ chance of 3 in 100.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from itertools import count
 
 import numpy as np
@@ -28,11 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.llm.links import grouped
-from encore.llm.texts import MIX_2, RUN_BYTES, mixed, prefix_sums, stretch_hashes
+from encore.llm.texts import MIX_1, MIX_2, RUN_BYTES, grams, mixed, prefix_sums, stretch_hashes
 from encore.sources.stage import staged
 
 EDITS = 2
 CHARS_AN_EDIT = 20
+WORDS_AN_EDIT = 20
+#: With n words and n // 20 edits, a stretch of at least 10 words is the same in both lines.
+GRAM, WINDOW = 6, 5
+#: Lengths in words at which a level begins; the shortest line that can be alike has 19.
+LEVELS = (WORDS_AN_EDIT - 1) * 1.25 ** np.arange(90)
 #: A task forgets which lines it has seen beyond so many, which only repeats some rows.
 SEEN = 1 << 19
 
@@ -92,6 +103,39 @@ def runs_of_lines(rows: Iterator[tuple[int, str | None]]) -> Iterator[tuple[list
         yield at, number, held
 
 
+def word_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of lines, bucket keys), each pair once: lines that are alike word by word share a key."""
+    words = [x.split() for x in lines]
+    long = [i for i, x in enumerate(words) if len(x) >= WORDS_AN_EDIT - 1]
+    if not long:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    count_of = np.array([len(words[i]) for i in long])
+    cuts = np.concatenate(([0], np.cumsum(count_of)))
+    every = grams(hashed([w for i in long for w in words[i]]).view(np.uint64), GRAM)
+    starts = np.arange(len(every) - WINDOW + 1)
+    line = np.repeat(np.arange(len(long)), count_of)
+    lowest = starts + np.lib.stride_tricks.sliding_window_view(every, WINDOW).argmin(axis=1)
+    at = np.unique(lowest[starts + GRAM + WINDOW - 1 <= cuts[line[starts] + 1]])
+    line, gram = line[at], every[at]
+    place, n = at - cuts[line], count_of[line]
+    own = np.searchsorted(LEVELS, n, side="right") - 1
+    # the longest line that can be alike has one word more for each 19
+    upper = np.searchsorted(LEVELS, n + n // (WORDS_AN_EDIT - 1), side="right") - 1
+    found = []
+    for level, in_level in ((own, np.ones(len(at), dtype=bool)), (upper, upper != own)):
+        most = (LEVELS[level + 1] // WORDS_AN_EDIT).astype(np.int64)
+        part, edge = place // (4 * most), (place + most) // (4 * most)
+        for of, here in ((part, in_level), (edge, in_level & (edge != part))):
+            to = np.flatnonzero(here)
+            where = level[to].astype(np.uint64) * np.uint64(MIX_1) + of[to].astype(np.uint64)
+            found.append((line[to], mixed(gram[to] + mixed(where * np.uint64(MIX_2)))))
+    line, key = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((key, line))
+    line, key = line[order], key[order]
+    new = np.concatenate(([True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])))
+    return np.array(long)[line[new]], key[new]
+
+
 def buckets(docs: DataFrame, edits: int) -> DataFrame:
     """(bucket, node) of the lines of (doc_id, text), a task's repeated lines left out."""
     least = CHARS_AN_EDIT - 1
@@ -128,11 +172,14 @@ def buckets(docs: DataFrame, edits: int) -> DataFrame:
                     key = mixed(key + mixed(other[to].astype(np.uint64) * np.uint64(MIX_2) + place))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(node[to])], ["bucket", "node"])
+        to, key = word_keys([lines[i] for i in at])
+        if len(to):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[to])], ["bucket", "node"])
 
     return docs.select("text").mapInArrow(of, "bucket long, node long")
 
 
-def small_distance(p: str, t: str) -> int:
+def small_distance(p: Sequence[str], t: Sequence[str]) -> int:
     row = list(range(len(p) + 1))
     for j, c in enumerate(t, 1):
         before, row[0] = row[0], j
@@ -141,7 +188,7 @@ def small_distance(p: str, t: str) -> int:
     return row[-1]
 
 
-def within(p: str, t: str, edits: int) -> bool:
+def within(p: Sequence[str], t: Sequence[str], edits: int) -> bool:
     """Whether the edit distance is at most `edits`. Bits 0 to 2 edits of a word are rows j - edits to j + edits."""
     if len(p) > len(t):
         p, t = t, p
@@ -183,9 +230,15 @@ def within(p: str, t: str, edits: int) -> bool:
 
 
 def close(p: str, t: str, edits: int) -> bool:
-    """Whether two lines are within the threshold of the longer one."""
+    """Whether two lines are within the threshold of the longer one, by characters or by words."""
     most = min(edits, max(len(p), len(t)) // CHARS_AN_EDIT)
-    return most > 0 and within(p, t, most)
+    if most > 0 and within(p, t, most):
+        return True
+    a, b = p.split(), t.split()
+    most = max(len(a), len(b)) // WORDS_AN_EDIT
+    if most == 0 or max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > most:
+        return False
+    return within(a, b, most)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
