@@ -2,7 +2,7 @@
 
 1. Quality rules: rejected documents go, failing lines go from the others.
 2. Line deduplication: lines that an earlier line repeats go, and documents that lose all their words with them.
-3. Near duplicates: of each group, the document with the smallest doc_id stays.
+3. Near duplicates: of each group, one row with the smallest doc_id stays; rows without a doc_id all stay.
 4. Decontamination: documents with a passage of the benchmark go.
 5. Packing: every piece of every document that is left gets its place in a training sequence.
 
@@ -34,8 +34,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = hyperminhash.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = rows.filter("doc_id is not null")
+    groups = hyperminhash.near_duplicates(named, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = groups.join(named.select("_row", "doc_id"), "_row").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "_row")).alias("first"))
+    kept = first.select("first._row").union(rows.filter("doc_id is null").select("_row"))
+    return rows.join(kept, "_row", "left_semi").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
