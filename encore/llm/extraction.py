@@ -6,7 +6,7 @@
    points pass to its ancestors: all to the parent, half to the next, a third to the one after, and so on. An
    ancestor's points are then cut by the share of its text that lies in links; `article` and `main` start with a bonus.
 3. The element with most points, or the article or main it lies in, is the container. Its siblings are kept as well
-   if they have a fifth of its points, or are paragraphs with few links.
+   if they are headings, have few links, whatever their size, or have a fifth of its points.
 
 Blocks come in page order, joined by one \\n, white space inside a block as one space. Defined cases: a null, empty or
 broken page gives what text it has, or an empty text; repeated rows are treated alike; null ids and addresses stay;
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +52,7 @@ NO_TEXT_ENDS = ("-ad", "-ads", "_ad", "_ads", "-advert", "-sidebar", "-comments"
 STATES = ("has-", "with-", "without-", "no-", "is-", "js-")
 COMMENT_PARTS = ("comment", "disqus", "respond", "repl", "discussion")
 CONTAINERS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 KEPT_WHOLE = frozenset(("html", "body", "article", "main"))
 CLOSES_PARAGRAPH = BLOCKS - {"html", "body", "option", "optgroup", "legend", "caption", "thead", "tbody", "tfoot", "tr",
                              "td", "th"}
@@ -211,7 +213,7 @@ def score(element: Element) -> float:
     return element.points * (1 - links(element))
 
 
-def kept(top: Element) -> list[Element]:
+def kept(top: Element) -> list[Element | str]:
     """The container and the siblings that belong to it, in page order."""
     best, points = top, 0.0
     for part, ends in walk(top):
@@ -224,12 +226,21 @@ def kept(top: Element) -> list[Element]:
     if container.parent is None:
         return [container]
     least = SIBLING_PART * score(container)
-    return [x for x in container.parent.parts if isinstance(x, Element) and (
-        x is container or (x.length and score(x) >= max(least, 1))
-        or (x.name == "p" and x.length and links(x) < SIBLING_LINKS))]
-
-
-def blocks(elements: list[Element]) -> Iterator[str]:
+    out: list[Element | str] = []
+    for is_block, run in groupby(container.parent.parts, lambda x: isinstance(x, Element) and x.name in BLOCKS):
+        run = list(run)
+        if is_block:
+            out += [x for x in run if x is container or (x.length and (
+                x.name in HEADINGS or links(x) < SIBLING_LINKS or score(x) >= max(least, 1)))]
+        else:
+            # text and what lies in it between two blocks is a paragraph without a tag
+            length = sum(x.length if isinstance(x, Element) else len(x.strip()) for x in run)
+            linked = sum(x.linked for x in run if isinstance(x, Element))
+            out += run if container in run or linked < SIBLING_LINKS * length else []
+    return out
+
+
+def blocks(elements: list[Element | str]) -> Iterator[str]:
     held: list[str] = []
     for element in elements:
         for part, _ in walk(element):
@@ -241,9 +252,8 @@ def blocks(elements: list[Element]) -> Iterator[str]:
                 if text := " ".join("".join(held).split()):
                     yield text
                 held = []
-        if text := " ".join("".join(held).split()):
-            yield text
-        held = []
+    if text := " ".join("".join(held).split()):
+        yield text
 
 
 def main_text(html: str | None) -> str:
