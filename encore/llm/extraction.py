@@ -1,7 +1,8 @@
 """The main text of web pages by scoring the element tree.
 
 1. The page becomes a tree; elements that are no reading matter by name, role or class go: menus, page headers and
-   footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden parts.
+   footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden parts. One that goes by class,
+   role or as a form stays if it holds the article, or on a page without one most of the points of 2.
 2. Each element with text of its own is a paragraph worth 1 point, 1 for each comma and up to 3 for its length. Its
    points pass to its ancestors: all to the parent, half to the next, a third to the one after, and so on. An
    ancestor's points are then cut by the share of its text that lies in links; `article` and `main` start with a bonus.
@@ -140,9 +141,7 @@ def no_reading(element: Element, in_article: bool) -> bool:
     given = element.attributes
     if element.name in NO_TEXT or (element.name == "header" and not in_article):
         return True
-    if given.get("role", "").lower() in NO_TEXT_ROLES or "hidden" in given or given.get("aria-hidden") == "true":
-        return True
-    if "display:none" in given.get("style", "").replace(" ", "").lower():
+    if given.get("role", "").lower() in NO_TEXT_ROLES or _unseen(element):
         return True
     names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
     names = [x for x in names if not x.startswith(STATES)]
@@ -158,15 +157,56 @@ def _holds_article(element: Element) -> bool:
     return any(isinstance(x, Element) and x.name in CONTAINERS for x, ends in walk(element) if not ends)
 
 
+def _unseen(element: Element) -> bool:
+    given = element.attributes
+    return ("hidden" in given or given.get("aria-hidden") == "true"
+            or "display:none" in given.get("style", "").replace(" ", "").lower())
+
+
+def _outside(element: Element) -> bool:
+    """Whether no share of the page's text makes the element reading matter: by its name, hidden, or comments."""
+    named = " ".join((element.attributes.get("class", ""), element.attributes.get("id", ""))).lower()
+    return ((element.name in NO_TEXT and element.name != "form") or element.name == "header" or _unseen(element)
+            or (element.name not in KEPT_WHOLE and any(x in named for x in COMMENT_PARTS)))
+
+
+def shares(top: Element) -> tuple[dict[int, float], bool]:
+    """The part of the page's paragraph points in each element by its id(), links left out, and whether it has an article."""
+    points: dict[int, float] = {}
+    article, outside = False, 0
+    for part, ends in walk(top):
+        if not isinstance(part, Element):
+            continue
+        if not ends:
+            outside += _outside(part)
+            article |= part.name in CONTAINERS and not outside
+            continue
+        if not outside:
+            own = " ".join("".join(_inline(part, ("a",))).split()) if part.name in BLOCKS else ""
+            here = points.get(id(part), 0.0) + (_worth(own) if own else 0.0)
+            points[id(part)] = here
+            if part.parent is not None:
+                points[id(part.parent)] = points.get(id(part.parent), 0.0) + here
+        outside -= _outside(part)
+    whole = points.get(id(top), 0.0)
+    return {k: v / whole for k, v in points.items()} if whole else {}, article
+
+
 def prune(top: Element) -> None:
-    """Take out all elements without reading matter."""
+    """Take out all elements without reading matter; what holds most of the page's text is a wrapper of it."""
+    share, article = shares(top)
+
+    def wraps(x: Element, inside: bool) -> bool:
+        if not inside and (x.name not in NO_TEXT or x.name == "form") and _holds_article(x):
+            return True
+        return (inside or not article) and not _outside(x) and share.get(id(x), 0.0) > 0.5
+
     stack = [(top, False)]
     while stack:
         element, in_article = stack.pop()
         inside = in_article or element.name in CONTAINERS
         element.parts = [
-            x for x in element.parts if isinstance(x, str) or not no_reading(x, inside)
-            or (x.name not in NO_TEXT and not inside and _holds_article(x))]
+            x for x in element.parts if isinstance(x, str) or not no_reading(x, inside) or wraps(x, inside)]
         stack.extend((x, inside) for x in element.parts if isinstance(x, Element))
 
 
@@ -180,7 +220,7 @@ def measure(top: Element) -> None:
             continue
         own = " ".join("".join(_inline(part)).split())
         if part.name in BLOCKS and own:
-            points, up, share = 1 + own.count(",") + min(len(own) / 100, 3), part.parent, 1
+            points, up, share = _worth(own), part.parent, 1
             while up is not None:
                 up.points += points / share
                 up, share = up.parent, share + 1
@@ -192,8 +232,13 @@ def measure(top: Element) -> None:
             part.parent.linked += part.linked
 
 
-def _inline(element: Element) -> Iterator[str]:
-    """The text of an element outside the blocks in it."""
+def _worth(own: str) -> float:
+    """The points of a paragraph."""
+    return 1 + own.count(",") + min(len(own) / 100, 3)
+
+
+def _inline(element: Element, but: tuple[str, ...] = ()) -> Iterator[str]:
+    """The text of an element outside the blocks in it, and outside elements of the names in `but`."""
     stack: list[Element | str] = list(reversed(element.parts))
     while stack:
         part = stack.pop()
@@ -201,7 +246,7 @@ def _inline(element: Element) -> Iterator[str]:
             yield part
         elif part.name == "br":
             yield " "
-        elif part.name not in BLOCKS:
+        elif part.name not in BLOCKS and part.name not in but:
             stack.extend(reversed(part.parts))
 
 
