@@ -18,6 +18,7 @@ nothing; rows of a repeated doc_id or item_id are matched each; a null doc_id is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +199,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", **of) -> DataFrame:
-    """The documents in which no item was found."""
-    found = leaks(docs, benchmark, id_col, **of).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+    """The rows in which no item was found, those without an id among them."""
+    key = next(n for i in count() if (n := f"row_{i}") not in docs.columns)
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = leaks(rows, benchmark, key, **of).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(found, key, "left_anti").select(*docs.columns)
