@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from encore.llm import (
-    archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality, shards, toolcalls)
+    alignment, archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality, shards, toolcalls)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_pair_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_zip_archives": op1_zip_archives,
     "op2_tool_call_linking": op2_tool_call_linking,
@@ -64,4 +68,5 @@ QUERIES = {
     "op8_tree_scoring": op8_tree_scoring,
     "op9_training_order": op9_training_order,
     "op10_hyperminhash": op10_hyperminhash,
+    "op11_pair_bitmaps": op11_pair_bitmaps,
 }
