@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from encore.llm import (
-    alignment, archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality, shards, toolcalls)
+    alignment, archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality, shards, toolcalls,
+    worlds)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +58,10 @@ def op11_pair_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.aligned_documents(table(spark, folder, "documents"))
 
 
+def op12_small_worlds(spark: SparkSession, folder: str) -> DataFrame:
+    return worlds.near_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_zip_archives": op1_zip_archives,
     "op2_tool_call_linking": op2_tool_call_linking,
@@ -69,4 +74,5 @@ QUERIES = {
     "op9_training_order": op9_training_order,
     "op10_hyperminhash": op10_hyperminhash,
     "op11_pair_bitmaps": op11_pair_bitmaps,
+    "op12_small_worlds": op12_small_worlds,
 }
