@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from encore.llm import (
-    alignment, archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality, shards, toolcalls,
-    worlds)
+    alignment, archives, decontaminate, extraction, hyperminhash, lines, packing, personal, quality, repair, shards,
+    toolcalls, worlds)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_small_worlds(spark: SparkSession, folder: str) -> DataFrame:
     return worlds.near_vectors(table(spark, folder, "embeddings"))
 
 
+def op13_path_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_zip_archives": op1_zip_archives,
     "op2_tool_call_linking": op2_tool_call_linking,
@@ -75,4 +79,5 @@ QUERIES = {
     "op10_hyperminhash": op10_hyperminhash,
     "op11_pair_bitmaps": op11_pair_bitmaps,
     "op12_small_worlds": op12_small_worlds,
+    "op13_path_ranking": op13_path_ranking,
 }
