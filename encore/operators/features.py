@@ -6,8 +6,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     HashingTF, IDF, MinMaxScaler, Normalizer, StopWordsRemover, Tokenizer, VectorAssembler,
 )
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from encore.functions.ids import stable_id
 from encore.functions.text import whitespace_tokens
 from encore.functions.vectors import l2_normalised
 from encore.sources.stage import staged
@@ -56,7 +58,7 @@ def index_features(tracks: DataFrame) -> DataFrame:
     return reduce(add, INDEXED.items(), tracks).select(*tracks.columns, *INDEXED.values())
 
 
-def _min_max(column: Column, lo: Column, hi: Column) -> Column:
+def min_max(column: Column, lo: Column, hi: Column) -> Column:
     """Scaled to [0, 1]; a constant column becomes 0.5."""
     return F.when(hi == lo, F.lit(0.5)).otherwise((column - lo) / (hi - lo))
 
@@ -69,7 +71,7 @@ def scaled_features(tracks: DataFrame) -> DataFrame:
     limits = indexed.agg(
         *[F.min(p).alias(f"{p}_lo") for p in parts], *[F.max(p).alias(f"{p}_hi") for p in parts]
     ).select(F.struct("*")).scalar()
-    scaled = F.array(*[_min_max(F.col(p), limits[f"{p}_lo"], limits[f"{p}_hi"]) for p in parts])
+    scaled = F.array(*[min_max(F.col(p), limits[f"{p}_lo"], limits[f"{p}_hi"]) for p in parts])
     return (
         indexed.withColumn("scaled", scaled)
         .withColumn("vector", l2_normalised(F.col("scaled"))).drop("duration"))
@@ -97,7 +99,7 @@ def unit_tfidf(tracks: DataFrame, fields: list[str] = TEXT_FIELDS, stop_words: l
     """(tid, field, token, weight): each track as a vector of unit length, of the TF-IDF of its texts' exact terms and
     its scaled duration (field `duration`, token empty). A track without length has weights of 0."""
     limits = tracks.agg(F.struct(F.min("duration_ms").alias("lo"), F.max("duration_ms").alias("hi")).alias("s")).scalar()
-    scaled = _min_max(F.coalesce("duration_ms", F.lit(0).cast("bigint")).cast("double"),
+    scaled = min_max(F.coalesce("duration_ms", F.lit(0).cast("bigint")).cast("double"),
                       limits["lo"].cast("double"), limits["hi"].cast("double"))
     terms = tfidf_terms(tracks, "tid", fields, stop_words).select("tid", "field", "token", F.col("tfidf").alias("weight"))
     parts = staged(terms.unionByName(tracks.select(
@@ -140,3 +142,29 @@ def hashed_tfidf(tracks: DataFrame, model: PipelineModel, fields: list[str] = TE
 def _without_missing(tracks: DataFrame, fields: list[str]) -> DataFrame:
     filled = {f: F.coalesce(F.col(f), F.lit("")) for f in fields}
     return tracks.withColumns({**filled, "duration_ms": F.coalesce("duration_ms", F.lit(0).cast("bigint"))})
+
+
+def hashed_terms(table: DataFrame, key: str, fields: list[str], buckets: int = HASH_BUCKETS,
+                 stop_words: list[str] | None = None) -> DataFrame:
+    """(key, field, bucket, tf, idf, tfidf, terms): term frequencies by bucket of the term's md5, whatever the engine.
+
+    terms is how many different terms of the whole table fell into the bucket: more than one is a collision.
+    """
+    exact = tfidf_terms(table, key, fields, stop_words).select(
+        key, "field", "token", "tf", F.pmod(stable_id(F.col("token")), F.lit(buckets)).cast("int").alias("bucket"))
+    exact = staged(exact, "hashed-terms")
+    rows = table.agg(F.count(F.lit(1))).scalar()
+    held = exact.groupBy(key, "field", "bucket").agg(F.sum("tf").alias("tf"))
+    spread = held.groupBy("field", "bucket").agg(F.count(F.lit(1)).alias("df"))
+    terms = exact.select("field", "bucket", "token").distinct().groupBy("field", "bucket").agg(
+        F.count(F.lit(1)).alias("terms"))
+    idf = F.log((rows + 1).cast("double") / (F.col("df") + 1))
+    return held.join(spread.join(terms, ["field", "bucket"]), ["field", "bucket"]).select(
+        key, "field", "bucket", "tf", idf.alias("idf"), (F.col("tf") * idf).alias("tfidf"), "terms")
+
+
+def hashed_vectors(terms: DataFrame, key: str, buckets: int) -> DataFrame:
+    """(key, field, vector): the rows of `hashed_terms` as Spark ML vectors of `buckets` values."""
+    values = F.map_from_entries(F.collect_list(F.struct("bucket", "tfidf")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("values", i), F.lit(0.0)))
+    return terms.groupBy(key, "field").agg(values.alias("values")).select(key, "field", array_to_vector(dense).alias("vector"))

@@ -163,6 +163,23 @@ def tfidf(source: str, key: str, fields: list[str], where: str = "") -> str:
               FROM (SELECT {key}, field, token, count(*) AS tf FROM ({cells}) {where} GROUP BY ALL))"""
 
 
+UNIT = dict(part="""
+        SELECT tid, field, token, tf * idf AS w FROM ("""
+    + tfidf("trk", "tid", ["track_name", "album_name", "artist_name"],
+            "WHERE token NOT IN ('and', 'of', 'ring', 'the')").replace(r("idf", "idf"), "idf") + """)
+        UNION ALL
+        SELECT tid, 'duration', '', CASE WHEN hi = lo THEN 0.5 ELSE (duration_ms - lo)::DOUBLE / (hi - lo) END
+        FROM trk, (SELECT min(duration_ms) AS lo, max(duration_ms) AS hi FROM trk)""",
+    unit="""SELECT tid, field, token, coalesce(w / nullif(l, 0), 0) AS w
+            FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY tid)) AS l FROM part)""")
+HASHED = dict(
+    tok="""SELECT *, ('0x' || substr(md5(token), 1, 15))::BIGINT % 48 AS bucket FROM ("""
+        + tfidf("trk", "tid", ["track_name", "album_name", "artist_name"]) + """)""",
+    hashed="""SELECT *, ln(((SELECT count(*) FROM trk) + 1)::DOUBLE / (count(*) OVER (PARTITION BY field, bucket) + 1)) AS idf
+              FROM (SELECT tid, field, bucket, sum(tf)::BIGINT AS tf FROM tok GROUP BY ALL)
+              JOIN (SELECT field, bucket, count(DISTINCT token) AS terms FROM tok GROUP BY ALL) USING (field, bucket)""")
+
+
 C2 = "((1 + ln(1.5)) * (1 + ln(1.5)))"
 NAME_PARTS = {
     "nen": "SELECT pid, sum(n * n) AS e FROM wrd GROUP BY pid",
@@ -215,6 +232,49 @@ def pairs(weights: tuple[float, ...], candidates: str, least: float) -> str:
         FROM best""", "bag", "wrd", **local)
 
 
+def shared(masks: list[str]) -> str:
+    """How many members two sets share, given as masks of 64 members each."""
+    return "(" + " + ".join(f"bit_count(x.{m} & y.{m})" for m in masks) + ")"
+
+
+def overlap(n: str, size: str) -> str:
+    return f"{n} / (x.{size} + y.{size} - {n})::DOUBLE"
+
+
+def mask_of(column: str, masks: list[str]) -> str:
+    """Members of a list column, numbered over all lists, as masks; there may be 64 for each mask."""
+    bits = ", ".join(f"bit_or(CASE WHEN i // 64 = {j} THEN 1::UBIGINT << (i % 64)::UBIGINT ELSE 0::UBIGINT END) AS {m}"
+                     for j, m in enumerate(masks))
+    return f"""
+        SELECT pid, {bits}, max(CASE WHEN i >= {64 * len(masks)} THEN error('too many members') END) AS spare
+        FROM (SELECT pid, unnest({column}) AS v FROM bag)
+        JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT unnest({column}) AS v FROM bag))
+        USING (v) GROUP BY pid"""
+
+
+ARTIST_MASKS, ALBUM_MASKS = ["a0"], ["b0", "b1", "b2"]
+TRACK_ROWS = "(SELECT DISTINCT pid, track_uri FROM mem)"
+# Every pair of playlists is scored; the ten best of each are kept while they pass.
+EACH = dict(
+    NAME_PARTS, ma=mask_of("a", ARTIST_MASKS), mb=mask_of("b", ALBUM_MASKS),
+    st=f"""SELECT x.pid AS a, y.pid AS b, count(*) AS n FROM {TRACK_ROWS} x JOIN {TRACK_ROWS} y
+           ON x.track_uri = y.track_uri AND x.pid <> y.pid GROUP BY ALL""",
+    msk=f"""SELECT bag.pid, name, len(t) AS nt, len(a) AS na, len(b) AS nb, {', '.join(ARTIST_MASKS + ALBUM_MASKS)},
+                   coalesce(f::DOUBLE / nullif(mf, 0), 0) AS f, coalesce(d::DOUBLE / nullif(md, 0), 0) AS d
+            FROM bag JOIN ma ON ma.pid = bag.pid JOIN mb ON mb.pid = bag.pid,
+                 (SELECT max(f) AS mf, max(d) AS md FROM bag)""",
+    best=f"""SELECT pid, arg_max({{'q': q, 'ts': ts, 'rs': rs, 'bs': bs, 'fs': fs, 'ds': ds, 'ns': ns, 'score': score}},
+                                {{'score': score, 'first': -q}}, 10) AS list
+             FROM (SELECT *, round(6 / 24::DOUBLE * ts + 6 / 24::DOUBLE * rs + 6 / 24::DOUBLE * bs
+                                   + 1 / 24::DOUBLE * fs + 1 / 24::DOUBLE * ds + 4 / 24::DOUBLE * ns, 9) AS score
+                   FROM (SELECT x.pid AS pid, y.pid AS q, {overlap('coalesce(st.n, 0)', 'nt')} AS ts,
+                                {overlap(shared(ARTIST_MASKS), 'na')} AS rs, {overlap(shared(ALBUM_MASKS), 'nb')} AS bs,
+                                1 - abs(x.f - y.f) AS fs, 1 - abs(x.d - y.d) AS ds, coalesce(cos, 0) AS ns
+                         FROM msk x JOIN msk y ON x.pid <> y.pid LEFT JOIN st ON st.a = x.pid AND st.b = y.pid
+                         LEFT JOIN nsim ON name_a = x.name AND name_b = y.name))
+             GROUP BY pid""")
+
+
 NEAREST = """
     SELECT c.pid AS target_pid, arg_max(i.pid, (round(coalesce(cos, 0), 9), -i.pid)) AS pid,
            max(round(coalesce(cos, 0), 9)) AS name_similarity
@@ -307,6 +367,10 @@ ORACLE: dict[str, str] = {
     "box_stats": sql(" UNION ALL ".join(
         box(c, c) for c in ("num_followers_capped", "num_artists", "num_albums", "num_tracks")), "capped"),
     "hash_sample": sql("SELECT * FROM pts", "pts"),
+    "exact_sample": sql("SELECT pid, name, num_tracks FROM info ORDER BY md5(pid::VARCHAR), pid LIMIT 1000", "info"),
+    "exact_sample_each": sql("""
+        SELECT num_tracks, pid FROM info
+        QUALIFY row_number() OVER (PARTITION BY num_tracks ORDER BY md5(pid::VARCHAR), pid) <= 20""", "info"),
     "joint_marginals": sql(" UNION ALL ".join(
         f"SELECT '{c}' AS metric, * FROM ({histogram('pts', c, 50)})"
         for c in ("num_tracks", "num_followers", "modified_at")), "pts"),
@@ -317,19 +381,38 @@ ORACLE: dict[str, str] = {
         r(f"{v}{i + 1}", f"{p}_{k}") for v, k in (("s", "scaled"), ("v", "unit"))
         for i, p in enumerate(("album", "artist", "track", "duration"))) + " FROM vec", "vec"),
     "tfidf_track_text": sql(tfidf("trk", "tid", ["track_name", "album_name", "artist_name"]), "trk"),
-    "tfidf_unit": sql(f"""
-        SELECT tid, field, token, {r('coalesce(w / nullif(l, 0), 0)', 'weight')}
-        FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY tid)) AS l FROM part)""", "trk", part="""
-        SELECT tid, field, token, tf * idf AS w FROM ("""
-        + tfidf("trk", "tid", ["track_name", "album_name", "artist_name"],
-                "WHERE token NOT IN ('and', 'of', 'ring', 'the')").replace(r("idf", "idf"), "idf") + """)
-        UNION ALL
-        SELECT tid, 'duration', '', CASE WHEN hi = lo THEN 0.5 ELSE (duration_ms - lo)::DOUBLE / (hi - lo) END
-        FROM trk, (SELECT min(duration_ms) AS lo, max(duration_ms) AS hi FROM trk)"""),
+    "tfidf_unit": sql(f"SELECT tid, field, token, {r('w', 'weight')} FROM unit", "trk", **UNIT),
+    "hashed_term_weights": sql(f"""
+        SELECT tid, field, bucket, tf, {r('idf', 'idf')}, {r('tf * idf', 'tfidf')}, terms FROM hashed""", "trk", **HASHED),
+    "hashed_track_vectors": sql(f"""
+        SELECT tid, field, 48 AS size, count(*) FILTER (tf * idf <> 0) AS n_set, {r('sum(tf * idf)', 'total')},
+               {r('sqrt(sum(tf * idf * tf * idf))', 'length')} FROM hashed GROUP BY tid, field""", "trk", **HASHED),
+    "model_features": sql(f"""
+        SELECT tid, album_index, artist_index, track_index,
+               {', '.join(r(f'CASE WHEN l = 0 THEN s{i} ELSE s{i} / l END', f'unit{i}') for i in range(4))}
+        FROM (SELECT *, sqrt(s0 * s0 + s1 * s1 + s2 * s2 + s3 * s3) AS l
+              FROM (SELECT f.*, {', '.join(f"CASE WHEN hi{i} = lo{i} THEN 0.5 ELSE (least(greatest({c}, lo{i}), hi{i}) - lo{i})"
+                                           f"::DOUBLE / (hi{i} - lo{i}) END AS s{i}"
+                                           for i, c in enumerate(('album_index', 'artist_index', 'track_index', 'duration_ms')))}
+                    FROM f, lim))""", "trk", "spl",
+        kn="SELECT * FROM trk WHERE tid IN (SELECT tid FROM spl WHERE NOT holdout)",
+        **{f"k{c}": f"SELECT {c}_name AS v, (row_number() OVER (ORDER BY count(*) DESC, {c}_name) - 1)::DOUBLE AS i "
+                    f"FROM kn GROUP BY 1" for c in ("album", "artist", "track")},
+        f="""SELECT trk.*, """ + ", ".join(f"coalesce(k{c}.i, (SELECT count(*) FROM k{c}))::DOUBLE AS {c}_index"
+                                         for c in ("album", "artist", "track")) + " FROM trk " + " ".join(
+            f"LEFT JOIN k{c} ON k{c}.v = {c}_name" for c in ("album", "artist", "track")),
+        lim="""SELECT 0 AS lo0, (SELECT count(*) - 1 FROM kalbum) AS hi0, 0 AS lo1, (SELECT count(*) - 1 FROM kartist) AS hi1,
+                      0 AS lo2, (SELECT count(*) - 1 FROM ktrack) AS hi2, min(duration_ms) AS lo3, max(duration_ms) AS hi3
+               FROM kn"""),
     "tfidf_documents": sql(tfidf("documents", "doc_id", ["text"])),
     "playlist_similarity_topk": pairs((6 / 24, 6 / 24, 6 / 24, 1 / 24, 1 / 24, 4 / 24), SHARED_TRACK, 18 / 24),
     "playlist_overlap_topk": pairs((1 / 3, 1 / 3, 1 / 3, 0.0, 0.0, 0.0), SHARED_TRACK, 2 / 3),
     "name_similarity_topk": pairs((0.0, 0.0, 0.0, 0.0, 0.0, 1.0), ALIKE_NAMES, -1.0),
+    "similar_playlists_each": sql(f"""
+        SELECT pid, l.q AS other_pid, {r('l.ts', 'track_similarity')}, {r('l.rs', 'artist_similarity')},
+               {r('l.bs', 'album_similarity')}, {r('l.fs', 'followers_similarity')}, {r('l.ds', 'duration_similarity')},
+               {r('l.ns', 'name_similarity')}, {r('l.score', 'final_similarity')}, rank
+        FROM (SELECT pid, unnest(list) AS l, generate_subscripts(list, 1) AS rank FROM best)""", "bag", "wrd", **EACH),
     "nearest_playlist_by_name": sql(f"SELECT target_pid, pid, {r('name_similarity', 'name_similarity')} FROM near",
                                     "chal", "wrd", **NAME_PARTS, near=NEAREST),
     "similar_tracks": sql(f"""
@@ -354,6 +437,10 @@ ORACLE: dict[str, str] = {
         tvec="""SELECT tid, any_value((duration_ms - lo)::DOUBLE / (hi - lo)) AS d, sum(w * w) AS e
                 FROM trk JOIN term USING (tid), (SELECT min(duration_ms) AS lo, max(duration_ms) AS hi FROM trk)
                 GROUP BY tid"""),
+    "text_similarity_topk": sql(f"""
+        SELECT a.tid AS id_a, b.tid AS id_b, {r('round(sum(a.w * b.w), 9)', 'cosine_similarity')}
+        FROM unit a JOIN unit b ON a.field = b.field AND a.token = b.token AND a.tid < b.tid AND a.w > 0 AND b.w > 0
+        GROUP BY a.tid, b.tid ORDER BY round(sum(a.w * b.w), 9) DESC, 1, 2 LIMIT 1000""", "trk", **UNIT),
     "track_similarity_topk": sql(f"""
         SELECT q.tid AS tid_a, t.tid AS tid_b, q.track_name AS track_1, t.track_name AS track_2,
                q.artist_name AS artist_1, t.artist_name AS artist_2, q.album_name AS album_1, t.album_name AS album_2,
@@ -368,6 +455,9 @@ ORACLE: dict[str, str] = {
         SELECT {CAT} FROM trk WHERE substr(md5(tid::VARCHAR), 1, 8) < '1999999a'
         OR tid IN (SELECT tid FROM spl WHERE NOT holdout)""", "spl"),
     "continue_seeded": sql(f"SELECT pid, tid, {r('score', 'score')}, rank FROM rec", "vec", "spl", **SEEDED),
+    "continue_first_seed": sql(f"SELECT pid, tid, {r('score', 'score')}, rank FROM rec", "vec", "spl", **SEEDED | dict(
+        q="""SELECT pid, v1, v2, v3, v4 FROM spl JOIN vec USING (tid) WHERE NOT holdout
+             QUALIFY row_number() OVER (PARTITION BY pid ORDER BY pos) = 1""")),
     "continue_seedless": sql(f"SELECT pid, tid, {r('score', 'score')}, rank FROM rec", "vec", "chal", "wrd", **NAME_PARTS,
                              near=NEAREST, own=OWN, q=f"""
         SELECT target_pid AS pid, {MEAN} FROM near JOIN mem USING (pid) JOIN vec USING (tid) GROUP BY 1""",

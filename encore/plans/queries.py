@@ -2,22 +2,27 @@
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from encore.operators import (
     challenge, distribution, features, ingest, metrics, names, playlist_pairs, profile, scope, toplists,
 )
+from encore.operators.feature_model import TrackFeatures, TrackFeaturesModel
 from encore.operators.nearest import nearest_to_one
+from encore.operators.playlist_neighbours import similar_playlists
+from encore.operators.text_pairs import most_similar_by_text
 from encore.operators.text_similarity import similar_by_text
 from encore.plans import continuation
 from encore.sources import star
-from encore.sources.stage import staged
+from encore.sources.stage import new_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 STOP_WORDS = ["and", "of", "ring", "the"]
+BUCKETS = 48
 NAME_KEYWORDS = ["ring", "gear", "plate", "rod", "widget"]
 
 
@@ -219,6 +224,18 @@ def hash_sample(spark, sf):
     return _scatter(spark, sf)
 
 
+@query
+def exact_sample(spark, sf):
+    """A thousand playlists, the same ones at every run."""
+    return scope.exact_sample(star.playlists_info(spark, sf), "pid", 1000).select("pid", "name", "num_tracks")
+
+
+@query
+def exact_sample_each(spark, sf):
+    """Twenty playlists of each length, or all where there are fewer."""
+    return scope.exact_sample(star.playlists_info(spark, sf), "pid", 20, ["num_tracks"]).select("num_tracks", "pid")
+
+
 @query
 def joint_marginals(spark, sf):
     counts = distribution.value_counts(_scatter(spark, sf), ["num_tracks", "num_followers", "modified_at"])
@@ -266,6 +283,34 @@ def tfidf_unit(spark, sf):
     return rounded(features.unit_tfidf(star.tracks(spark, sf), stop_words=STOP_WORDS))
 
 
+@query
+def model_features(spark, sf):
+    """All tracks by a model that was fitted on the challenge seeds' tracks, saved and loaded."""
+    tracks = star.tracks(spark, sf)
+    seeds = _challenge_parts(spark, sf)[1].filter(~F.col("holdout"))
+    path = new_path(spark, "feature-model")
+    TrackFeatures().fit(staged(scope.in_scope(tracks, seeds, "tid"), "known-tracks")).write().save(path)
+    return rounded(TrackFeaturesModel.load(path).transform(tracks).select(
+        "tid", *features.INDEXED.values(), *[F.col("vector")[i].alias(f"unit{i}") for i in range(4)]))
+
+
+@query
+def hashed_term_weights(spark, sf):
+    """TF-IDF of the tracks' texts by bucket of the words' md5, with the words that share a bucket."""
+    return rounded(features.hashed_terms(star.tracks(spark, sf), "tid", features.TEXT_FIELDS, BUCKETS))
+
+
+@query
+def hashed_track_vectors(spark, sf):
+    """The same as Spark ML vectors, read back: how many values are set, their sum and their length."""
+    terms = features.hashed_terms(star.tracks(spark, sf), "tid", features.TEXT_FIELDS, BUCKETS)
+    read = features.hashed_vectors(terms, "tid", BUCKETS).withColumn("values", vector_to_array("vector"))
+    return rounded(read.select("tid", "field", F.size("values").alias("size"),
+                               F.size(F.filter("values", lambda x: x != 0)).alias("n_set"),
+                               F.aggregate("values", F.lit(0.0), lambda s, x: s + x).alias("total"),
+                               F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)).alias("length")))
+
+
 # --- similarity ---------------------------------------------------------------------------------
 
 def _tables(spark, sf):
@@ -285,6 +330,13 @@ QUERIES["playlist_overlap_topk"] = _pairs({f"{s}_similarity": 1 / 3 for s in pla
 QUERIES["name_similarity_topk"] = _pairs({"name_similarity": 1.0})
 
 
+@query
+def similar_playlists_each(spark, sf):
+    """The ten most alike playlists of every playlist."""
+    info, members = _tables(spark, sf)
+    return rounded(similar_playlists(members, info))
+
+
 @query
 def nearest_playlist_by_name(spark, sf):
     """For every challenge playlist without seeds, the playlist with tracks whose name is closest."""
@@ -309,6 +361,12 @@ def similar_tracks_tfidf(spark, sf):
     return rounded(similar_by_text(tracks, staged(scope.in_scope(tracks, top, "track_uri").select("tid"), "seed")))
 
 
+@query
+def text_similarity_topk(spark, sf):
+    """The 1,000 pairs of tracks most alike in words and duration."""
+    return rounded(most_similar_by_text(features.unit_tfidf(star.tracks(spark, sf), stop_words=STOP_WORDS), 1000))
+
+
 @query
 def track_similarity_topk(spark, sf):
     return rounded(continuation.most_similar_tracks(star.tracks(spark, sf)))
@@ -335,9 +393,9 @@ def _split(spark, sf):
         challenge.holdout_split(star.playlists_tracks(spark, sf)).select("pid", "pos", "tid", "holdout"), "split")
 
 
-def _seeded(spark, sf, split, k):
+def _seeded(spark, sf, split, k, use="mean"):
     seeds = split.filter(~F.col("holdout")).select("pid", "pos", "tid")
-    return continuation.recommend(seeds, continuation.track_vectors(star.tracks(spark, sf)), k)
+    return continuation.recommend(seeds, continuation.track_vectors(star.tracks(spark, sf)), k, use)
 
 
 @query
@@ -346,6 +404,12 @@ def continue_seeded(spark, sf):
     return rounded(_seeded(spark, sf, _split(spark, sf), 10))
 
 
+@query
+def continue_first_seed(spark, sf):
+    """Ten tracks for every challenge playlist with seeds, by its first seed alone."""
+    return rounded(_seeded(spark, sf, _split(spark, sf), 10, "first"))
+
+
 @query
 def continue_seeded_lists(spark, sf):
     """The full lists of 500 for every challenge playlist with seeds, one row a playlist: length, order and scores."""
