@@ -441,6 +441,12 @@ ORACLE: dict[str, str] = {
         SELECT a.tid AS id_a, b.tid AS id_b, {r('round(sum(a.w * b.w), 9)', 'cosine_similarity')}
         FROM unit a JOIN unit b ON a.field = b.field AND a.token = b.token AND a.tid < b.tid AND a.w > 0 AND b.w > 0
         GROUP BY a.tid, b.tid ORDER BY round(sum(a.w * b.w), 9) DESC, 1, 2 LIMIT 1000""", "trk", **UNIT),
+    "embedding_neighbours": f"""
+        SELECT query_id, item_id, {r('c', 'cosine_similarity')}, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, item_id) AS rank
+        FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id,
+                     round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c
+              FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+        QUALIFY rank <= 10""",
     "track_similarity_topk": sql(f"""
         SELECT q.tid AS tid_a, t.tid AS tid_b, q.track_name AS track_1, t.track_name AS track_2,
                q.artist_name AS artist_1, t.artist_name AS artist_2, q.album_name AS album_1, t.album_name AS album_2,

@@ -14,6 +14,7 @@ from encore.operators.nearest import nearest_to_one
 from encore.operators.playlist_neighbours import similar_playlists
 from encore.operators.text_pairs import most_similar_by_text
 from encore.operators.text_similarity import similar_by_text
+from encore.operators.wide_nearest import nearest_of_every
 from encore.plans import continuation
 from encore.sources import star
 from encore.sources.stage import new_path, staged
@@ -379,6 +380,13 @@ def embedding_topk(spark, sf):
     return rounded(nearest_to_one(items, items.orderBy("item_id").limit(1), 500))
 
 
+@query
+def embedding_neighbours(spark, sf):
+    """The ten given vectors closest to each of them."""
+    items = star.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return rounded(nearest_of_every(items, 10))
+
+
 # --- continuation and its quality ---------------------------------------------------------------
 
 @query
