@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from encore import schemas
+from encore.operators.field_report import field_report
 
 SLICE_PATTERN = "*.slice.*.json"
 CORRUPT = "_corrupt_record"
@@ -26,6 +27,17 @@ def read_challenge(spark: SparkSession, path: str) -> DataFrame:
     return _read_nested(spark, path, schemas.CHALLENGE)
 
 
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record): each file that parses as one VARIANT, with all its fields."""
+    return (spark.read.option("multiLine", True).option("singleVariantColumn", "record").json(path)
+            .select(F.col("_metadata.file_name").alias("file"), "record"))
+
+
+def slice_fields(spark: SparkSession, folder: str, pattern: str = SLICE_PATTERN) -> DataFrame:
+    """What the slice files of a folder hold beside what their schema names."""
+    return field_report(read_variants(spark, f"{folder.rstrip('/')}/{pattern}"), schemas.SLICE)
+
+
 def unreadable_files(raw: DataFrame) -> DataFrame:
     """Files that did not parse, with what was found in them."""
     return raw.filter(F.col(CORRUPT).isNotNull()).select(F.input_file_name().alias("file"), CORRUPT)
