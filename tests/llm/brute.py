@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import re
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -68,30 +69,47 @@ def edit_distance(a, b, most):
     return min(row[-1], most + 1)
 
 
-def line_classes(rows, edits=2, min_chars=40):
-    """(doc_id, line_no, n_chars, first_doc_id, first_line_no, kept) of (doc_id, text) rows with distinct ids."""
+def line_classes(rows, edits=2, chars_an_edit=20, words_an_edit=20):
+    """(doc_id, line_no, n_chars, first_doc_id, first_line_no, kept) of (doc_id, text) rows with distinct ids.
+
+    Lines with a character are linked by one edit for each 20 characters of the longer one, two at most, or by
+    one changed word for each 20 of its words.
+    """
     flat = [(d, i, x.strip()) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
     first = {}
     for d, i, x in sorted(flat):
-        if len(x) >= min_chars:
+        if x:
             first.setdefault(x, (d, i))
-    by_length = {}
-    for x in first:
-        by_length.setdefault(len(x), []).append((x, {c: x.count(c) for c in set(x)}))
     links = []
-    for n, held in by_length.items():
-        near = [(k, y) for k in range(n, n + edits + 1) for y in by_length.get(k, ())]
-        for at, (x, count) in enumerate(held):
-            for k, (y, other) in near:
-                if k == n and y <= x:
-                    continue
-                if sum(abs(count.get(c, 0) - other.get(c, 0)) for c in count.keys() | other.keys()) <= 2 * edits:
-                    if edit_distance(x, y, edits) <= edits:
-                        links.append((first[x], first[y]))
+    by_chars, by_words = {}, {}
+    for x in first:
+        by_chars.setdefault(len(x), []).append((x, Counter(x)))
+        words = x.split()
+        by_words.setdefault(len(words), []).append((words, Counter(words), x))
+    for n, held in by_chars.items():
+        for k in range(n, n + edits + 1):
+            most = min(edits, k // chars_an_edit)
+            if most < max(1, k - n):
+                continue
+            for x, count in held:
+                for y, other in by_chars.get(k, ()):
+                    if (k > n or y > x) and len(list((count - other).elements())) <= most:
+                        if edit_distance(x, y, most) <= most:
+                            links.append((first[x], first[y]))
+    for n, held in by_words.items():
+        for k in by_words:
+            most = k // words_an_edit
+            if not n <= k <= n + most or most == 0:
+                continue
+            for a, count, x in held:
+                for b, other, y in by_words[k]:
+                    if (k > n or y > x) and k - sum((count & other).values()) <= most:
+                        if edit_distance(a, b, most) <= most:
+                            links.append((first[x], first[y]))
     found = components(first.values(), links)
     out = []
     for d, i, x in flat:
-        f = found[first[x]] if len(x) >= min_chars else (d, i)
+        f = found[first[x]] if x else (d, i)
         out.append((d, i, len(x), *f, f == (d, i)))
     return sorted(out)
 
@@ -160,8 +178,8 @@ def quality(text):
             not base_failed and 100 * left >= 50 * chars), rest
 
 
-def without_repeated_lines(rows, edits=2, min_chars=40):
-    gone = {(r[0], r[1]) for r in line_classes(rows, edits, min_chars) if not r[5]}
+def without_repeated_lines(rows):
+    gone = {(r[0], r[1]) for r in line_classes(rows) if not r[5]}
     return [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)) for d, t in rows]
 
 
