@@ -4,6 +4,7 @@ Everything but the hexagons starts from `value_counts`: one scan and one map-sid
 aggregate reduce a table to (metric, value, n). The metrics are whole counts, so d distinct
 values add up to at least d^2/2; the counted table therefore has at most about
 sqrt(2 * total) rows per metric, and ordering it per metric stays cheap at any table size.
+Metrics of real numbers go through `value_summary` first, which bounds their distinct values.
 (Times of last change come in whole days; they are only binned, never ordered.)
 """
 
@@ -23,6 +24,45 @@ def value_counts(table: DataFrame, metrics: list[str] | dict[str, Column]) -> Da
         .groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
+def value_summary(table: DataFrame, metrics: list[str] | dict[str, Column], digits: int = 4) -> DataFrame:
+    """(metric, side, place, cell, lo, hi, n): counts of values that agree in `digits` significant digits.
+
+    For metrics of real numbers, whose distinct values may be as many as the rows. A cell's values differ by less than
+    10^(1 - digits) of their size, so the rows stay at 18 * 10^(digits - 1) for each power of ten that occurs. Summaries
+    of parts are merged by `merged_summaries`. Infinite values and NaN are left out.
+    """
+    values = value_counts(table, metrics)
+    size, side = F.abs("value"), F.signum("value")
+    near = F.floor(F.log10(size)).cast("int")
+
+    def power(n):
+        return F.pow(F.lit(10.0), n)
+
+    # the logarithm may be off by one next to a power of ten
+    place = F.when(size == 0, F.lit(0)).when(power(near) > size, near - 1).when(power(near + 1) <= size, near + 1).otherwise(near)
+    cell = F.floor(F.try_divide(size, power(F.col("place") - digits + 1)))
+    return merged_summaries(
+        values.filter((size < float("inf")) & ~F.isnan("value")).withColumn("place", place)
+        .withColumns({"side": side.cast("int"), "cell": F.coalesce(cell, F.lit(0).cast("bigint"))})
+        .withColumns({"lo": F.col("value"), "hi": F.col("value")}))
+
+
+def merged_summaries(summaries: DataFrame) -> DataFrame:
+    """One summary of the rows of several, put together by `union`."""
+    return summaries.groupBy("metric", "side", "place", "cell").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+
+
+def summary_counts(summary: DataFrame) -> DataFrame:
+    """(metric, value, n) as from `value_counts`: a cell's only value itself, or else the middle of its range.
+
+    Each value stands for others that differ from it by less than half of 10^(1 - digits) of their size, and so do the
+    quantiles that are taken from it.
+    """
+    middle = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.col("lo") + F.col("hi")) / 2)
+    return summary.select("metric", middle.alias("value"), "n")
+
+
 def _running(counts: DataFrame) -> DataFrame:
     upto = W.partitionBy("metric").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("metric")

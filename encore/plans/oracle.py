@@ -139,6 +139,24 @@ def hexagons(x: str) -> str:
         GROUP BY x0, y0, sx, sy, cu, cv"""
 
 
+def summary_quantiles(metric: str, source: str, digits: int, **probabilities: float) -> str:
+    """Quantiles over values that stand for all that agree in their leading digits; the values are 1 or more."""
+    def order(place):
+        return f"min(CASE WHEN upto > {place} THEN v END)"
+
+    columns = ", ".join(
+        r(f"{order(f'floor({p} * (total - 1))')} + ({order(f'ceil({p} * (total - 1))')} - {order(f'floor({p} * (total - 1))')})"
+          f" * max({p} * (total - 1) - floor({p} * (total - 1)))", name) for name, p in probabilities.items())
+    return f"""
+        SELECT '{metric}' AS metric, {columns}
+        FROM (SELECT v, sum(n) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto, (sum(n) OVER ())::DOUBLE AS total
+              FROM (SELECT CASE WHEN min({metric}) = max({metric}) THEN min({metric}) ELSE (min({metric}) + max({metric})) / 2 END AS v,
+                           count(*) AS n
+                    FROM {source} WHERE CASE WHEN {metric} < 1 THEN error('below 1') ELSE true END
+                    GROUP BY length(floor({metric})::BIGINT::VARCHAR),
+                             floor({metric} / pow(10.0::DOUBLE, length(floor({metric})::BIGINT::VARCHAR) - {digits}))))"""
+
+
 def box(metric: str, column: str) -> str:
     return f"""
         SELECT '{metric}' AS metric, {r('q1', 'q1')}, {r('q2', '"median"')}, {r('q3', 'q3')},
@@ -364,6 +382,9 @@ ORACLE: dict[str, str] = {
         + [f"SELECT 'filtered {c}' AS metric, * FROM ({kernel(c, source)})" for c, source in (
             ("num_followers", "few"), ("num_artists", "few"), ("num_albums", "few"), ("num_tracks", "few"),
             ("modified_days", "(SELECT modified_at / 86400 AS modified_days FROM few)"))]), "capped", "few"),
+    "price_quantiles": " UNION ALL ".join(
+        summary_quantiles(m, t, 3, p01=0.01, p25=0.25, p50=0.5, p75=0.75, p99=0.99)
+        for m, t in (("o_totalprice", "orders"), ("l_extendedprice", "lineitem"))),
     "box_stats": sql(" UNION ALL ".join(
         box(c, c) for c in ("num_followers_capped", "num_artists", "num_albums", "num_tracks")), "capped"),
     "hash_sample": sql("SELECT * FROM pts", "pts"),

@@ -209,6 +209,16 @@ def kde_all(spark, sf):
     return rounded(distribution.density(staged(every.unionByName(few), "density-counts")))
 
 
+@query
+def price_quantiles(spark, sf):
+    """Quantiles of real numbers by three significant digits: of the orders' totals and of the prices of their lines."""
+    wanted = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+    orders = distribution.value_summary(star.table(spark, sf, "orders"), ["o_totalprice"], 3)
+    lines = distribution.value_summary(star.table(spark, sf, "lineitem"), ["l_extendedprice"], 3)
+    counts = distribution.summary_counts(distribution.merged_summaries(orders.unionByName(lines)))
+    return rounded(distribution.quantiles(staged(counts, "price-counts"), wanted))
+
+
 @query
 def box_stats(spark, sf):
     table = profile.with_followers_capped(star.playlists_info(spark, sf))
