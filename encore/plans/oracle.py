@@ -436,6 +436,13 @@ ORACLE: dict[str, str] = {
         FROM (SELECT pid, unnest(list) AS l, generate_subscripts(list, 1) AS rank FROM best)""", "bag", "wrd", **EACH),
     "nearest_playlist_by_name": sql(f"SELECT target_pid, pid, {r('name_similarity', 'name_similarity')} FROM near",
                                     "chal", "wrd", **NAME_PARTS, near=NEAREST),
+    "nearest_name_of_every_playlist": sql(f"""
+        SELECT c.pid AS target_pid, arg_max(x.pid, (s, -x.pid)) AS pid, {r('max(s)', 'name_similarity')}
+        FROM info c JOIN (
+            SELECT name_a, h.pid, round(cos, 9) AS s FROM nsim JOIN hold h ON h.name = name_b
+            UNION ALL SELECT n.name, f.pid, 0 FROM nam n, (SELECT pid FROM hold ORDER BY pid LIMIT 2) f) x
+        ON x.name_a = c.name AND x.pid <> c.pid GROUP BY c.pid""", "info", "wrd", **NAME_PARTS, hold="""
+        SELECT name, pid FROM info WHERE num_tracks > 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY pid) <= 2"""),
     "similar_tracks": sql(f"""
         SELECT q.tid AS seed_tid, t.tid, t.track_name, t.artist_name,
                {r(f'round({DOT}, 9)', 'cosine_similarity')},

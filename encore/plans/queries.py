@@ -356,6 +356,13 @@ def nearest_playlist_by_name(spark, sf):
     return rounded(names.nearest_by_name(targets, info.filter(F.col("num_tracks") > 0)))
 
 
+@query
+def nearest_name_of_every_playlist(spark, sf):
+    """For every playlist the other playlist with tracks whose name is closest."""
+    info, _ = _tables(spark, sf)
+    return rounded(names.nearest_by_name(info, info.filter(F.col("num_tracks") > 0)))
+
+
 @query
 def similar_tracks(spark, sf):
     """The 500 tracks most similar to each of the ten most common opening tracks."""
