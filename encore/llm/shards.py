@@ -252,5 +252,7 @@ def materialised(docs: DataFrame, folder: str | None = None, length=LENGTH, per_
     first, total = numbered(blocks)
     start = spark.sparkContext.broadcast(first)
     files = write_shards(by_shard(blocks, start, total, key, length, per_shard), folder, total, length, per_shard)
-    return places(blocks, start, total, key).join(shard_rows(files, length, per_shard), "slot").select(
+    # the list of shards is short, but their rows are as many as the sequences: never a side to broadcast
+    held = shard_rows(files, length, per_shard).hint("merge")
+    return places(blocks, start, total, key).join(held, "slot").select(
         "slot", "shard", "byte_offset", "n_tokens", "doc_ids", "ids_crc32")

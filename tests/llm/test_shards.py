@@ -53,3 +53,9 @@ def test_odd_rows(odd, odd_rows):
 
 def test_empty_table(none):
     assert shards.materialised(none).collect() == []
+
+
+def test_rows_of_the_shards_are_not_broadcast(spark, small):
+    found = QUERIES["op9_training_order"](spark, small)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
