@@ -103,3 +103,13 @@ def test_id_collision_fails_the_build(spark, folder, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "stable_id", lambda uri: F.length(uri).cast("bigint"))
     with pytest.raises(ValueError, match="same id"):
         build_tables(spark, str(folder), str(folder / "challenge_set.json"), str(tmp_path / "out"))
+
+
+def test_line_items_are_not_expanded_nor_derived_before_their_shuffle(spark, small, capsys):
+    from encore.sources import star
+    star.playlists_info(spark, small).explain()
+    assert "Expand" not in capsys.readouterr().out
+    star.playlists_tracks(spark, small).explain()
+    plan = capsys.readouterr().out
+    assert "md5" in plan[:plan.index("Exchange hashpartitioning(l_orderkey")]
+    assert "md5" not in plan[plan.index("Exchange hashpartitioning(l_orderkey"):]
