@@ -12,9 +12,11 @@ differ are compared under a threshold of one edit for each CHARS_AN_EDIT charact
 the segments are never empty, and words of a few letters are not linked because they are short.
 
 Longer lines are also compared word by word: two lines are alike if one edit for each WORDS_AN_EDIT words of the longer
-one turns one into the other, however long they are. Such lines share a stretch of GRAM + WINDOW - 1 words, and the
-rarest hash among the grams of each such stretch goes to a bucket of its own, together with the level of the line's
-length and the part of the line it lies in; near the edge of a level or part it goes to the next one as well.
+one turns one into the other, however long they are. Up to one edit, their words are cut into segments like characters.
+Lines of at least LEVELS[0] words share a stretch of words instead, whichever of the two rules links them: an edit of a
+character touches two words of a line at most. The rarest hash among the grams of each stretch of that length goes to a
+bucket of its own, together with the level of the line's length and the part of the line it lies in; near the edge of a
+level or part it goes to the next one as well. So only shorter lines need segments of characters.
 
 Defined cases: a null text has no lines, an empty one a single empty line; lines without a word are left alone. Rows without a doc_id keep all their lines.
 Rows that repeat a doc_id and its text count as one document. Extra columns are ignored by `line_classes` and kept by
@@ -31,6 +33,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from encore.llm.links import grouped
@@ -40,10 +43,14 @@ from encore.sources.stage import staged
 EDITS = 2
 CHARS_AN_EDIT = 20
 WORDS_AN_EDIT = 20
-#: With n words and n // 20 edits, a stretch of at least 10 words is the same in both lines.
-GRAM, WINDOW = 6, 5
-#: Lengths in words at which a level begins; the shortest line that can be alike has 19.
-LEVELS = (WORDS_AN_EDIT - 1) * 1.25 ** np.arange(90)
+#: Stretches of words are known by grams of so many words.
+GRAM = 6
+#: Lengths in words of the longer of two lines at which a level begins; below the first, lines are cut into segments.
+LEVELS = 2 * WORDS_AN_EDIT * 1.5 ** np.arange(50)
+#: Segments of words, apart from those of characters.
+OF_WORDS = np.uint64(1 << 20)
+#: Characters that part words, as `str.split` has them, and one place for all characters beyond.
+BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
 #: A task forgets which lines it has seen beyond so many, which only repeats some rows.
 SEEN = 1 << 19
 
@@ -103,37 +110,88 @@ def runs_of_lines(rows: Iterator[tuple[int, str | None]]) -> Iterator[tuple[list
         yield at, number, held
 
 
-def word_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of lines, bucket keys), each pair once: lines that are alike word by word share a key."""
-    words = [x.split() for x in lines]
-    long = [i for i, x in enumerate(words) if len(x) >= WORDS_AN_EDIT - 1]
-    if not long:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    count_of = np.array([len(words[i]) for i in long])
-    cuts = np.concatenate(([0], np.cumsum(count_of)))
-    every = grams(hashed([w for i in long for w in words[i]]).view(np.uint64), GRAM)
-    starts = np.arange(len(every) - WINDOW + 1)
-    line = np.repeat(np.arange(len(long)), count_of)
-    lowest = starts + np.lib.stride_tricks.sliding_window_view(every, WINDOW).argmin(axis=1)
-    at = np.unique(lowest[starts + GRAM + WINDOW - 1 <= cuts[line[starts] + 1]])
-    line, gram = line[at], every[at]
-    place, n = at - cuts[line], count_of[line]
+def stretch(level: int) -> int:
+    """How many words in a row two lines share at least if they are linked and the longer one's length is in the level.
+
+    e edits of words leave n - e of n words in e + 1 stretches, at their shortest where e has just grown. EDITS edits of
+    characters leave n - 2 EDITS in EDITS + 1.
+    """
+    least = int(np.ceil(LEVELS[level]))
+    found = [-(-(least - 2 * EDITS) // (EDITS + 1))]
+    for n in (least, -(-least // WORDS_AN_EDIT) * WORDS_AN_EDIT):
+        edits = n // WORDS_AN_EDIT
+        found.append(-(-(n - edits) // (edits + 1)))
+    return min(found)
+
+
+def lowest_places(values: np.ndarray, size: int) -> np.ndarray:
+    """For each window of `size` values, the place of its smallest, the first of equal ones."""
+    at, held = np.arange(len(values)), 1
+    while held < size:
+        step = min(held, size - held)
+        left, right = at[:len(at) - step], at[step:]
+        at = np.where(values[left] <= values[right], left, right)
+        held += step
+    return at
+
+
+def words_of(points: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all lines in order, and the bounds of the lines among them."""
+    blank = BLANK[np.minimum(points, len(BLANK) - 1)]
+    edge = np.zeros(len(points) + 1, dtype=bool)
+    edge[bounds] = True
+    starts = np.flatnonzero(~blank & (np.concatenate(([True], blank))[:-1] | edge[:-1]))
+    ends = np.flatnonzero(~blank & (np.concatenate((blank, [True]))[1:] | edge[1:])) + 1
+    return stretch_hashes(sums, starts, ends), np.searchsorted(starts, bounds)
+
+
+def segment_keys(words: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines, bucket keys) for pairs of lines whose longer one has fewer than LEVELS[0] words: one edit at most."""
+    n = np.diff(cuts)
+    line = np.flatnonzero((n >= WORDS_AN_EDIT - 1) & (n < LEVELS[0]))
+    sums, first, n = prefix_sums(words), cuts[line], n[line]
+    for other, i, a, b, valid in probes(n, 1):
+        to = np.flatnonzero(valid)
+        key = stretch_hashes(sums, first[to] + a[to], first[to] + b[to])
+        yield line[to], mixed(key + mixed(other[to].astype(np.uint64) * np.uint64(MIX_2) + OF_WORDS + np.uint64(i)))
+
+
+def stretch_keys(words: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines, bucket keys) for pairs of lines whose longer one has LEVELS[0] words or more."""
+    n = np.diff(cuts)
     own = np.searchsorted(LEVELS, n, side="right") - 1
     # the longest line that can be alike has one word more for each 19
     upper = np.searchsorted(LEVELS, n + n // (WORDS_AN_EDIT - 1), side="right") - 1
-    found = []
-    for level, in_level in ((own, np.ones(len(at), dtype=bool)), (upper, upper != own)):
-        most = (LEVELS[level + 1] // WORDS_AN_EDIT).astype(np.int64)
-        part, edge = place // (4 * most), (place + most) // (4 * most)
-        for of, here in ((part, in_level), (edge, in_level & (edge != part))):
-            to = np.flatnonzero(here)
-            where = level[to].astype(np.uint64) * np.uint64(MIX_1) + of[to].astype(np.uint64)
-            found.append((line[to], mixed(gram[to] + mixed(where * np.uint64(MIX_2)))))
-    line, key = (np.concatenate(x) for x in zip(*found))
+    for level in np.unique(np.concatenate((own, upper))).tolist():
+        if level < 0:
+            continue
+        of = np.flatnonzero((own == level) | (upper == level))
+        ends = np.cumsum(n[of])
+        line, starts = np.repeat(np.arange(len(of)), n[of]), ends - n[of]
+        every = grams(words[np.arange(ends[-1]) + (cuts[of] - starts)[line]], GRAM)
+        size = stretch(level)
+        lowest = lowest_places(every, size - GRAM + 1)
+        at = np.unique(lowest[np.arange(len(lowest)) + size <= ends[line[:len(lowest)]]])
+        place, most = at - starts[line[at]], int(LEVELS[level + 1]) // WORDS_AN_EDIT
+        part, edge = place // (8 * most), (place + most) // (8 * most)
+        for to, here in ((at, part), (at[edge != part], edge[edge != part])):
+            where = here.astype(np.uint64) + mixed(np.array([level]))
+            yield of[line[to]], mixed(every[to] + mixed(where * np.uint64(MIX_2)))
+
+
+def word_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of lines, bucket keys), each pair once: lines that are alike word by word share a key."""
+    points, bounds = code_points(lines)
+    return distinct_keys(*words_of(points, bounds, prefix_sums(points)))
+
+
+def distinct_keys(words: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    line, key = (np.concatenate(x) for x in zip(*segment_keys(words, cuts), *stretch_keys(words, cuts)))
     order = np.lexsort((key, line))
     line, key = line[order], key[order]
-    new = np.concatenate(([True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])))
-    return np.array(long)[line[new]], key[new]
+    new = np.ones(len(line), dtype=bool)
+    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
+    return line[new], key[new]
 
 
 def buckets(docs: DataFrame, edits: int) -> DataFrame:
@@ -159,9 +217,13 @@ def buckets(docs: DataFrame, edits: int) -> DataFrame:
             seen.clear()
         seen.update(node.tolist())
         first, length = bounds[at], bounds[at + 1] - bounds[at]
+        words, cuts = words_of(points, bounds, sums)
+        count_of = np.diff(cuts)[at]
+        # linked lines of more words share a stretch of words
+        segmented = (count_of < LEVELS[0]) | (edits > EDITS)
         for k in range(1, edits + 1):
             # the lines whose threshold is k, and those that are up to k characters shorter than one of them
-            mine = length >= CHARS_AN_EDIT * k - k
+            mine = segmented & (length >= CHARS_AN_EDIT * k - k)
             if k < edits:
                 mine &= length < CHARS_AN_EDIT * (k + 1)
             for other, i, a, b, valid in probes(length, k):
@@ -172,13 +234,22 @@ def buckets(docs: DataFrame, edits: int) -> DataFrame:
                     key = mixed(key + mixed(other[to].astype(np.uint64) * np.uint64(MIX_2) + place))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(node[to])], ["bucket", "node"])
-        to, key = word_keys([lines[i] for i in at])
+        ends = np.cumsum(count_of)
+        own = np.arange(len(words) and ends[-1]) + np.repeat(cuts[at] - (ends - count_of), count_of)
+        to, key = distinct_keys(words[own], np.concatenate(([0], ends)))
         if len(to):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[to])], ["bucket", "node"])
 
     return docs.select("text").mapInArrow(of, "bucket long, node long")
 
 
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """The distinct (bucket, node) of buckets with several nodes. All rows are made and shuffled once, by bucket."""
+    each = W.partitionBy("bucket")
+    return rows.select("bucket", "node", F.min("node").over(each).alias("low"), F.max("node").over(each).alias("high")).filter(
+        "low <> high").select("bucket", "node").distinct()
+
+
 def small_distance(p: Sequence[str], t: Sequence[str]) -> int:
     row = list(range(len(p) + 1))
     for j, c in enumerate(t, 1):
@@ -303,7 +374,7 @@ def line_classes(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS)
         return ((i, j) for i, x in enumerate(asking) for j, y in enumerate(others) if close(x, y, edits))
 
     roots = grouped(
-        buckets(named, edits),
+        staged(shared_buckets(buckets(named, edits)), "line-buckets"),
         lambda shared: staged(_lines(named, nodes.join(shared, "node").select("node", "first")), "lines"),
         lambda pairs, held: _confirmed(pairs, held, edits), "line", compare)
     first = roots.join(nodes, "node").groupBy("root").agg(F.min("first").alias("class_first"))

@@ -62,6 +62,40 @@ def test_close_lines_share_a_bucket():
             assert keys(a, k) & keys(b, k)
 
 
+def test_linked_lines_share_a_bucket(spark):
+    """Lines of few and many words, about the lengths at which other keys are used."""
+    rng = random.Random(5)
+    pairs = []
+    for n in [10, 18, 19, 20, 21, 37, 38, 39, 40, 41, 42, 57, 58, 59, 60, 61, 79, 80, 82, 88, 90, 100, 120, 135, 140, 210]:
+        for i in range(30):
+            words = [rng.choice(["a", "b", "cd", "longer", f"q{rng.randrange(30)}"]) for _ in range(n)]
+            x, y = " ".join(words), edited(" ".join(words), rng.randint(1, 2), rng, "ab  ").strip()
+            if i % 2:
+                for _ in range(max(1, n // 20)):
+                    words[rng.randrange(n)] = rng.choice(["other", "c d", ""])
+                y = " ".join(" ".join(words).split())
+            if x != y and lines.close(x, y, 2):
+                pairs.append((x, y))
+    docs = spark.createDataFrame([(i, x) for i, p in enumerate(pairs) for x in p], "doc_id long, text string")
+    keys = {}
+    for bucket, node in lines.buckets(docs, 2).collect():
+        keys.setdefault(node, set()).add(bucket)
+    assert len(pairs) > 500
+    for p in pairs:
+        a, b = (keys[int(h)] for h in lines.hashed(p))
+        assert a & b, p
+
+
+def test_few_rows_a_line(spark, small):
+    """Lines enter 15 buckets on average, not 30, and their rows are made and shuffled once to find the shared ones."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    made = lines.buckets(docs, 2)
+    n = made.select("node").distinct().count()
+    assert n > 300 and made.count() < 18 * n
+    plan = lines.shared_buckets(made)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_odd_rows(odd, odd_rows):
     got = collected(lines.line_classes(odd))
     named = dict(r for r in odd_rows if r[0] is not None)
