@@ -51,6 +51,8 @@ LEVELS = 2 * WORDS_AN_EDIT * 1.5 ** np.arange(50)
 OF_WORDS = np.uint64(1 << 20)
 #: Characters that part words, as `str.split` has them, and one place for all characters beyond.
 BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
+#: Lines of a crowd are told apart by histograms of so many bins first.
+BINS = 64
 #: A task forgets which lines it has seen beyond so many, which only repeats some rows.
 SEEN = 1 << 19
 
@@ -312,6 +314,35 @@ def close(p: str, t: str, edits: int) -> bool:
     return within(a, b, most)
 
 
+def histograms(lines: list[str]) -> tuple[np.ndarray, ...]:
+    """For each line, the numbers of characters and of words, and how many of each fall to each of BINS."""
+    points, bounds = code_points(lines)
+    words, cuts = words_of(points, bounds, prefix_sums(points))
+
+    def spread(values, ends):
+        row = np.repeat(np.arange(len(lines)), np.diff(ends))
+        return np.bincount(row * BINS + (values % values.dtype.type(BINS)).astype(np.int64), minlength=len(lines) * BINS).reshape(-1, BINS)
+
+    return np.diff(bounds), np.diff(cuts), spread(points, bounds), spread(words, cuts)
+
+
+def close_ones(asking: list[str], others: list[str], edits: int) -> Iterator[tuple[int, int]]:
+    """Positions of lines that are close. An edit changes one or two counts of a histogram by one, so most need no look."""
+    if not asking or not others:
+        return
+    length, words, letters, bags = histograms(others)
+    for i, (x, n, m, own, bag) in enumerate(zip(asking, *histograms(asking))):
+        by_char = np.minimum(edits, np.maximum(n, length) // CHARS_AN_EDIT)
+        by_word = np.maximum(m, words) // WORDS_AN_EDIT
+        may = (by_char > 0) & (np.abs(length - n) <= by_char)
+        may[may] = np.abs(letters[may] - own).sum(axis=1) <= 2 * by_char[may]
+        or_may = ~may & (by_word > 0) & (np.abs(words - m) <= by_word)
+        or_may[or_may] = np.abs(bags[or_may] - bag).sum(axis=1) <= 2 * by_word[or_may]
+        for j in np.flatnonzero(may | or_may).tolist():
+            if close(x, others[j], edits):
+                yield i, j
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, n_chars, node) of all lines; node is null for lines without a word."""
 
@@ -370,8 +401,9 @@ def line_classes(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS)
     place = F.struct("doc_id", "line_no")
     nodes = staged(compared.groupBy("node").agg(
         F.min(place).alias("first"), F.max(place).alias("last")), "line-nodes")
+
     def compare(asking, others):
-        return ((i, j) for i, x in enumerate(asking) for j, y in enumerate(others) if close(x, y, edits))
+        return close_ones(asking, others, edits)
 
     roots = grouped(
         staged(shared_buckets(buckets(named, edits)), "line-buckets"),

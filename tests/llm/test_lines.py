@@ -86,6 +86,15 @@ def test_linked_lines_share_a_bucket(spark):
         assert a & b, p
 
 
+def test_close_ones_of_crowds():
+    rng = random.Random(6)
+    base = [" ".join(rng.choice(["a", "bc", "é😀", "word", f"q{rng.randrange(9)}"]) for _ in range(n)) for n in (1, 9, 22, 45, 90)]
+    some, held = ([edited(rng.choice(base), rng.randint(0, 4), rng, "ab é") for _ in range(90)] + [""] for _ in range(2))
+    found = list(lines.close_ones(some, held, 2))
+    assert found == [(i, j) for i, x in enumerate(some) for j, y in enumerate(held) if lines.close(x, y, 2)]
+    assert len(found) > 300 and list(lines.close_ones([], held, 2)) == list(lines.close_ones(some, [], 2)) == []
+
+
 def test_few_rows_a_line(spark, small):
     """Lines enter 15 buckets on average, not 30, and their rows are made and shuffled once to find the shared ones."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
