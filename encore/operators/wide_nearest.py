@@ -8,6 +8,9 @@ spares depends on the data: on vectors without any clusters the bound spares non
 
 Of equal vectors a list can use the k + 1 smallest ids. Clusters are split into parts of about `PART` vectors, so one
 cluster may hold any share of them, and a task compares one part with the vectors that ask for it, `ASKING` at a time.
+For the other clusters, small ones share a block of `BLOCK` parts' vectors; a block of vectors that ask meets a block of
+members in one task, which writes only those at least as near as the k-th of the own cluster. So n vectors that all must
+be compared are sent 2 n / (PART * BLOCK) times, in groups of bounded size, instead of once for each cluster.
 """
 
 from collections.abc import Iterator
@@ -20,6 +23,7 @@ from encore.functions.vectors import l2_normalised
 from encore.sources.stage import staged
 
 CENTROIDS, PART, ASKING, SALTS = 1024, 8192, 4096, 64
+BLOCK, CELLS = 4, 1 << 22
 DIGITS = 9
 SLACK = 2e-9
 
@@ -85,6 +89,49 @@ def _best_of_parts(asking: DataFrame, items: DataFrame, k: int) -> DataFrame:
         of, f"query_id {kind}, item_id {kind}, score double")
 
 
+def _blocks(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each cluster: small ones share a block of at most `most` vectors."""
+    first, copies = np.zeros(len(n), dtype=np.int64), -(-n // most)
+    block, held = 0, 0
+    for i, size in enumerate(n.tolist()):
+        if held and held + size > most:
+            block, held = block + 1, 0
+        first[i], held = block, held + size
+        if copies[i] > 1:
+            block, held = block + int(copies[i]), 0
+    return first, copies
+
+
+def _best_of_blocks(asking: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, score): of each block, the k + 1 nearest members of other clusters that reach the floor."""
+    kind = dict(items.dtypes)["item_id"]
+
+    def of(asking: pa.Table, held: pa.Table) -> pa.Table:
+        out = [pa.table([pa.array([], held.schema.field("item_id").type)] * 2 + [pa.array([], pa.float64())],
+                        ["query_id", "item_id", "score"])]
+        if asking.num_rows and held.num_rows:
+            held = held.sort_by("item_id")
+            vectors, ids, clusters = _matrix(held.column("unit")), held.column("item_id"), held.column("cluster").to_numpy()
+            step = max(1, CELLS // held.num_rows)
+            for a in range(0, asking.num_rows, step):
+                some = asking.slice(a, step)
+                scores = np.round(_matrix(some.column("unit")) @ vectors.T, DIGITS)
+                near = scores >= some.column("floor").to_numpy()[:, None]
+                near &= clusters != some.column("cluster").to_numpy()[:, None]
+                row, at = np.nonzero(near)
+                score = scores[row, at]
+                # members are sorted by id, and so are those of a row: a stable order gives ties to the smaller id
+                order = np.lexsort((at, -score, row))
+                row, at, score = row[order], at[order], score[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) <= k
+                out.append(pa.table([some.column("query_id").take(pa.array(row[best])), ids.take(pa.array(at[best])),
+                                     score[best]], ["query_id", "item_id", "score"]))
+        return pa.concat_tables(out)
+
+    return asking.groupBy("asks", "block").cogroup(items.groupBy("asks", "block")).applyInArrow(
+        of, f"query_id {kind}, item_id {kind}, score double")
+
+
 def nearest_of_every(items: DataFrame, k: int = 10, most_centroids: int = CENTROIDS, part: int = PART) -> DataFrame:
     """(query_id, item_id, cosine_similarity, rank): for each of (item_id, vector) the k others with the highest cosine.
 
@@ -123,6 +170,12 @@ def nearest_of_every(items: DataFrame, k: int = 10, most_centroids: int = CENTRO
     asking = placed.select(F.col("item_id").alias("query_id"), "unit", "cluster").join(floors, "query_id", "left").select(
         "query_id", "unit", "cluster", F.coalesce("score", F.lit(-1.0)).alias("floor"))
 
+    # clusters along a line through all, so that near ones share a block
+    along = np.argsort(centroids[cluster] @ centroids[0], kind="stable")
+    cluster, radius, n = cluster[along], radius[along], n[along]
+    first, copies = _blocks(n, BLOCK * part)
+    askers = int(-(-n.sum() // (BLOCK * part)))
+
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -132,18 +185,26 @@ def nearest_of_every(items: DataFrame, k: int = 10, most_centroids: int = CENTRO
             asks = reach >= batch.column(3).to_numpy()[:, None] - SLACK
             asks &= cluster != batch.column(2).to_numpy()[:, None]
             row, at = np.nonzero(asks)
-            copies = parts[at]
-            row, at = np.repeat(row, copies), np.repeat(at, copies)
-            p = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+            times = copies[at]
+            row, at = np.repeat(row, times), np.repeat(at, times)
+            block = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            # clusters of one block ask for it once
+            row, block = np.unique(np.stack([row, block]), axis=1)
             for a in range(0, len(row), 1 << 14):
                 some = slice(a, a + (1 << 14))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row[some])), batch.column(1).take(pa.array(row[some])),
-                     pa.array(cluster[at[some]].astype(np.int32)), pa.array(p[some].astype(np.int32))],
-                    ["query_id", "unit", "c", "p"])
-
-    wider = asking.mapInArrow(others, f"query_id {kind}, unit array<double>, c int, p int")
-    found = near.unionByName(staged(_best_of_parts(wider, held, k), "other-clusters"))
+                    [*batch.take(pa.array(row[some])).columns, pa.array(block[some].astype(np.int32))],
+                    ["query_id", "unit", "cluster", "floor", "asks", "block"])
+
+    def placed_at(values):
+        return F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(cluster, values) for x in pair]), F.col("cluster"))
+
+    asking = asking.withColumn("asks", F.pmod(F.xxhash64("query_id"), F.lit(askers)).cast("int"))
+    wider = asking.mapInArrow(others, f"query_id {kind}, unit array<double>, cluster int, floor double, asks int, block int")
+    blocks = held.select(
+        "item_id", "unit", "cluster", F.explode(F.sequence(F.lit(0), F.lit(askers - 1))).alias("asks"),
+        (placed_at(first) + F.pmod(F.xxhash64("item_id"), placed_at(copies))).cast("int").alias("block"))
+    found = near.unionByName(staged(_best_of_blocks(wider, blocks, k), "other-clusters"))
     ranking = [F.desc("score"), "item_id"]
     by_class = (
         found.select(F.col("query_id").alias("asking"), F.col("item_id").alias("rep"), "score")

@@ -62,3 +62,22 @@ def test_clusters_are_spared(spark, monkeypatch):
     rows = [(i, r.tolist()) for i, r in enumerate(x)]
     assert found(spark.createDataFrame(rows, ITEMS), k=5) == brute(rows, 5)
     assert sum(asked) < 0.3 * 1500 ** 2
+
+
+def test_small_clusters_share_a_block():
+    n = np.array([3, 4, 2, 9, 25, 2, 8, 1])
+    first, copies = wide_nearest._blocks(n, 10)
+    assert first.tolist() == [0, 0, 0, 1, 2, 5, 5, 6] and copies.tolist() == [1, 1, 1, 1, 3, 1, 1, 1]
+
+
+def test_blocks_of_several_clusters(spark):
+    """Vectors without clusters, in many blocks, against all pairs."""
+    values = np.random.default_rng(4).normal(size=(300, 12))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "item_id long, vector array<double>")
+    got = wide_nearest.nearest_of_every(items, k=4, part=9).collect()
+    units = values / np.linalg.norm(values, axis=1, keepdims=True)
+    scores = np.round(units @ units.T, 9)
+    np.fill_diagonal(scores, -2)
+    for r in got:
+        assert np.argsort(-scores[r.query_id], kind="stable")[r["rank"] - 1] == r.item_id
+    assert len(got) == 1200
