@@ -80,7 +80,8 @@ def scaled_features(tracks: DataFrame) -> DataFrame:
 def tfidf_terms(table: DataFrame, key: str, fields: list[str], stop_words: list[str] | None = None) -> DataFrame:
     """(key, field, token, tf, idf, tfidf) on exact terms; idf = ln((m + 1) / (df + 1)).
 
-    m counts the rows of the table. Empty tokens count as terms, as the tokenizer keeps them.
+    m counts the rows of the table. Empty tokens count as terms, as the tokenizer keeps them. The terms are joined with
+    their document frequencies by hash, neither sorted by token nor with a vocabulary sent to the driver.
     """
     rows = table.agg(F.count(F.lit(1))).scalar()
     cells = [F.struct(F.lit(f).alias("field"), whitespace_tokens(F.col(f)).alias("tokens")) for f in fields]
@@ -91,7 +92,7 @@ def tfidf_terms(table: DataFrame, key: str, fields: list[str], stop_words: list[
     spread = terms.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((rows + 1).cast("double") / (F.col("df") + 1))
     return (
-        terms.join(spread, ["field", "token"])
+        terms.join(spread.hint("shuffle_hash"), ["field", "token"])
         .select(key, "field", "token", "tf", idf.alias("idf"), (F.col("tf") * idf).alias("tfidf")))
 
 

@@ -31,7 +31,7 @@ def similar_by_text(tracks: DataFrame, seed: DataFrame, k: int = 500, stop_words
         .agg(F.sum(F.col("tfidf") * F.coalesce("asked", F.lit(0.0))).alias("dot"),
              F.sum(F.col("tfidf") * F.col("tfidf")).alias("energy")))
     placed = staged(
-        tracks.select("tid", duration.alias("duration")).join(sums, "tid", "left").fillna(0.0, ["dot", "energy"]),
+        tracks.select("tid", duration.alias("duration")).join(sums.hint("shuffle_hash"), "tid", "left").fillna(0.0, ["dot", "energy"]),
         "text-vectors")
     own = (placed.join(F.broadcast(one), "tid", "left_semi")
            .select(F.struct("tid", "duration", "energy").alias("s")).scalar())

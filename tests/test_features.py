@@ -76,3 +76,13 @@ def test_hashed_model_is_saved_and_reused(spark, tracks, tmp_path):
     assert one.exceptAll(two).count() == 0
     lengths = one.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("l")).distinct().collect()
     assert all(r.l == pytest.approx(1.0) for r in lengths)
+
+
+def test_terms_meet_their_frequencies_by_hash(spark):
+    """No sort of all terms by token, and no vocabulary on the driver, however small it looks."""
+    rows = spark.createDataFrame([(1, "a b a"), (2, "b c"), (2, "c"), (None, "a")], "id long, text string")
+    terms = features.tfidf_terms(rows, "id", ["text"])
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+    assert sorted((r.id or 0, r.token, r.tf) for r in terms.collect()) == [
+        (0, "a", 1), (1, "a", 2), (1, "b", 1), (2, "b", 1), (2, "c", 2)]
