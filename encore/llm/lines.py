@@ -27,7 +27,7 @@ chance of 3 in 100.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import count
 
 import numpy as np
@@ -204,7 +204,9 @@ def buckets(docs: DataFrame, edits: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for _, _, lines in runs_of_lines(enumerate(x.as_py() for x in batch.column(0))):
-                yield from keys([x for x in lines if len(x) >= least], seen)
+                made = list(keys([x for x in lines if len(x) >= least], seen))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], ["bucket", "node"])
 
     def keys(lines, seen):
         if not lines:
@@ -234,22 +236,26 @@ def buckets(docs: DataFrame, edits: int) -> DataFrame:
                     key = stretch_hashes(sums, first[to] + a[to], first[to] + b[to])
                     place = np.uint64(i * (edits + 1) + k)
                     key = mixed(key + mixed(other[to].astype(np.uint64) * np.uint64(MIX_2) + place))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(node[to])], ["bucket", "node"])
+                    yield key.view(np.int64), node[to]
         ends = np.cumsum(count_of)
         own = np.arange(len(words) and ends[-1]) + np.repeat(cuts[at] - (ends - count_of), count_of)
         to, key = distinct_keys(words[own], np.concatenate(([0], ends)))
         if len(to):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[to])], ["bucket", "node"])
+            yield key.view(np.int64), node[to]
 
     return docs.select("text").mapInArrow(of, "bucket long, node long")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """The distinct (bucket, node) of buckets with several nodes. All rows are made and shuffled once, by bucket."""
+    """(bucket, node, mate, size) of buckets with several nodes: those of two as one row with both, others with a row a node.
+
+    A node that has a row for itself is its own mate. All rows are made and shuffled once, by bucket.
+    """
     each = W.partitionBy("bucket")
-    return rows.select("bucket", "node", F.min("node").over(each).alias("low"), F.max("node").over(each).alias("high")).filter(
-        "low <> high").select("bucket", "node").distinct()
+    several = rows.select("bucket", "node", F.min("node").over(each).alias("low"), F.max("node").over(each).alias("high")).filter(
+        "low <> high").distinct().withColumn("size", F.count("*").over(each))
+    return several.filter("size > 2 or node = low").select(
+        "bucket", "node", F.expr("if(size > 2, node, high)").alias("mate"), "size")
 
 
 def small_distance(p: Sequence[str], t: Sequence[str]) -> int:
@@ -261,19 +267,30 @@ def small_distance(p: Sequence[str], t: Sequence[str]) -> int:
     return row[-1]
 
 
+def same_start(p: Sequence[str], t: Sequence[str]) -> int:
+    """How many places two sequences of one kind agree in from the start, by halving."""
+    low, high = 0, min(len(p), len(t))
+    if p[:high] == t[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if p[low:mid] == t[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
 def within(p: Sequence[str], t: Sequence[str], edits: int) -> bool:
     """Whether the edit distance is at most `edits`. Bits 0 to 2 edits of a word are rows j - edits to j + edits."""
     if len(p) > len(t):
         p, t = t, p
     if len(t) - len(p) > edits:
         return False
-    start, most = 0, len(p)
-    while start < most and p[start] == t[start]:
-        start += 1
-    end = 0
-    while end < most - start and p[-1 - end] == t[-1 - end]:
-        end += 1
-    p, t = p[start:len(p) - end], t[start:len(t) - end]
+    start = same_start(p, t)
+    p, t = p[start:], t[start:]
+    end = same_start(p[::-1], t[::-1])
+    p, t = p[:len(p) - end], t[:len(t) - end]
     m, n = len(p), len(t)
     if m <= edits:
         return n <= edits or (n <= 2 * edits and small_distance(p, t) <= edits)
@@ -309,7 +326,10 @@ def close(p: str, t: str, edits: int) -> bool:
         return True
     a, b = p.split(), t.split()
     most = max(len(a), len(b)) // WORDS_AN_EDIT
-    if most == 0 or max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > most:
+    # an edit takes one word away, adds one, or does both
+    if most == 0 or abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
+        return False
+    if max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > most:
         return False
     return within(a, b, most)
 
@@ -326,20 +346,25 @@ def histograms(lines: list[str]) -> tuple[np.ndarray, ...]:
     return np.diff(bounds), np.diff(cuts), spread(points, bounds), spread(words, cuts)
 
 
-def close_ones(asking: list[str], others: list[str], edits: int) -> Iterator[tuple[int, int]]:
-    """Positions of lines that are close. An edit changes one or two counts of a histogram by one, so most need no look."""
+def close_ones(asking: list[str], others: list[str], edits: int, apart: Callable | None = None) -> Iterator[tuple[int, int]]:
+    """Positions of lines that are close. An edit changes one or two counts of a histogram by one, so most need no look.
+
+    apart(i, others) says which pairs are still asked for, and may change whenever a pair has been given.
+    """
     if not asking or not others:
         return
+    every = np.arange(len(others))
     length, words, letters, bags = histograms(others)
     for i, (x, n, m, own, bag) in enumerate(zip(asking, *histograms(asking))):
         by_char = np.minimum(edits, np.maximum(n, length) // CHARS_AN_EDIT)
         by_word = np.maximum(m, words) // WORDS_AN_EDIT
-        may = (by_char > 0) & (np.abs(length - n) <= by_char)
+        asked = True if apart is None else apart(i, every)
+        may = asked & (by_char > 0) & (np.abs(length - n) <= by_char)
         may[may] = np.abs(letters[may] - own).sum(axis=1) <= 2 * by_char[may]
-        or_may = ~may & (by_word > 0) & (np.abs(words - m) <= by_word)
+        or_may = asked & ~may & (by_word > 0) & (np.abs(words - m) <= by_word)
         or_may[or_may] = np.abs(bags[or_may] - bag).sum(axis=1) <= 2 * by_word[or_may]
         for j in np.flatnonzero(may | or_may).tolist():
-            if close(x, others[j], edits):
+            if (apart is None or apart(i, j)) and close(x, others[j], edits):
                 yield i, j
 
 
@@ -360,18 +385,22 @@ def line_table(docs: DataFrame) -> DataFrame:
 def _lines(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(node, line) at the given (node, first), stripped; where a doc_id has several texts, the node's own line."""
     own = places.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
-        F.collect_list(F.struct("node", F.col("first.line_no").alias("at"))).alias("places"))
-    lines = F.split("text", "\n", -1)
-    found = F.transform("places", lambda p: F.struct(p["node"].alias("node"), F.get(lines, p["at"]).alias("line")))
+        F.collect_list("node").alias("nodes"), F.collect_set("first.line_no").alias("places"))
 
     def of(batches):
         for batch in batches:
-            texts = [(x or "").strip() for x in batch.column(1).to_pylist()]
-            right = pa.array(hashed(texts) == batch.column(0).to_numpy()) if texts else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(right), pa.array(texts, pa.string()).filter(right)], ["node", "line"])
+            texts = []
+            for at, text in zip(batch.column(1).to_pylist(), batch.column(2)):
+                held = lines_of(text.as_py())
+                texts += [held[i] for i in at if i < len(held)]
+            if texts:
+                node = hashed(texts)
+                right = pa.array(np.isin(node, batch.column(0).flatten().to_numpy()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node).filter(right), pa.array(texts, pa.string()).filter(right)], ["node", "line"])
 
-    every = docs.join(own, "doc_id").select(F.inline(found))
+    # the texts need no sorting, as the places of a document are few
+    every = docs.join(own.hint("shuffle_hash"), "doc_id").select("nodes", "places", "text")
     return every.mapInArrow(of, "node long, line string").dropDuplicates(["node"])
 
 
@@ -402,13 +431,15 @@ def line_classes(docs: DataFrame, id_col="doc_id", text_col="text", edits=EDITS)
     nodes = staged(compared.groupBy("node").agg(
         F.min(place).alias("first"), F.max(place).alias("last")), "line-nodes")
 
-    def compare(asking, others):
-        return close_ones(asking, others, edits)
+    def compare(asking, others, apart):
+        return close_ones(asking, others, edits, apart)
 
+    found = staged(shared_buckets(buckets(named, edits)), "line-buckets")
     roots = grouped(
-        staged(shared_buckets(buckets(named, edits)), "line-buckets"),
+        found.filter("node = mate").select("bucket", "node", "size"),
         lambda shared: staged(_lines(named, nodes.join(shared, "node").select("node", "first")), "lines"),
-        lambda pairs, held: _confirmed(pairs, held, edits), "line", compare)
+        lambda pairs, held: _confirmed(pairs, held, edits), "line", compare, spared=True,
+        pairs=found.filter("node <> mate").select(F.col("node").alias("a"), F.col("mate").alias("b")))
     first = roots.join(nodes, "node").groupBy("root").agg(F.min("first").alias("class_first"))
     alike = roots.join(first, "root").select("node", "class_first")
     repeated = nodes.filter("first <> last").join(alike, "node", "full").select(

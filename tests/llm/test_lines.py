@@ -95,6 +95,27 @@ def test_close_ones_of_crowds():
     assert len(found) > 300 and list(lines.close_ones([], held, 2)) == list(lines.close_ones(some, [], 2)) == []
 
 
+def test_shared_buckets_of_two_are_one_row(spark):
+    rows = [(1, 5), (2, 7), (2, 5), (2, 7), (3, 1), (3, 2), (3, 3), (3, 1), (4, 9), (4, 9)]
+    found = lines.shared_buckets(spark.createDataFrame(rows, "bucket long, node long"))
+    assert sorted(tuple(r) for r in found.collect()) == [(2, 5, 7, 2), (3, 1, 1, 3), (3, 2, 2, 3), (3, 3, 3, 3)]
+
+
+def test_crowd_of_strays(spark):
+    """Lines that share a stretch of words, in groups of near copies that no one line joins."""
+    rng = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = []
+    for k in range(12):
+        own = [f"g{k}w{rng.randrange(50)}" for _ in range(35)]
+        for i in range(8):
+            words = own[:]
+            words[rng.randrange(35)] = f"x{k}y{i}"
+            rows.append((len(rows), common + " " + " ".join(words)))
+    got = collected(lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute.line_classes(rows) and len({r[3] for r in got}) == 12
+
+
 def test_few_rows_a_line(spark, small):
     """Lines enter 15 buckets on average, not 30, and their rows are made and shuffled once to find the shared ones."""
     docs = spark.read.parquet(f"{small}/documents.parquet")

@@ -102,6 +102,60 @@ def test_links_outside_the_hub_are_found(spark):
     assert roots == {x: want[x] for p in pairs for x in p} and asked < 600
 
 
+def in_one_bucket(spark, n, linked, **more):
+    """Roots of n nodes in one bucket, and what components were built from."""
+    built, own = [], links.components
+    buckets = spark.range(n).selectExpr("1L as bucket", "id as node")
+
+    def compare(one, two, apart=lambda i, j: True):
+        return ((i, j) for i, x in enumerate(one) for j, y in enumerate(two) if apart(i, j) and x != y and linked(x, y))
+
+    def counted(edges):
+        edges = spark.createDataFrame([tuple(r) for r in edges.collect()], "a long, b long")
+        built.append(edges.count())
+        return own(edges)
+
+    links.components = counted
+    try:
+        roots = dict(links.grouped(buckets, lambda nodes: nodes.withColumn("number", F.col("node")),
+                                   lambda pairs, held: pairs.limit(0), "number", compare, **more).collect())
+    finally:
+        links.components = own
+    return roots, max(built)
+
+
+def test_links_of_a_crowd_are_not_written_in_pairs(spark):
+    """Strays that are all linked with one another: no hub joins them, and what leaves the blocks grows with their number."""
+    for n, more in ((600, {}), (1200, {}), (1200, {"spared": True})):
+        roots, built = in_one_bucket(spark, n, lambda a, b: True, **more)
+        assert roots == dict.fromkeys(range(n), 0) and built < 3 * n
+
+
+def test_groups_in_blocks_equal_union_find(spark):
+    def linked(a, b):
+        return abs(a - b) == 7 and a % 5 > 0 or {a, b} == {3, 590}
+
+    pairs = [(a, b) for a in range(700) for b in range(a + 1, 700) if linked(a, b) or linked(b, a)]
+    want = brute.components({x for p in pairs for x in p}, pairs)
+    for more in ({}, {"spared": True}):
+        assert in_one_bucket(spark, 700, lambda a, b: linked(a, b) or linked(b, a), **more)[0] == {
+            x: want[x] for p in pairs for x in p}
+
+
+def test_buckets_of_two_as_pairs(spark):
+    """Pairs beside the larger buckets give the same groups as buckets of two among them."""
+    rows = [(b, 5 * b + i) for b in range(40) for i in range(8)]
+    two = [(100 + k, n) for k in range(60) for n in (k, 3 * k + 20)]
+    near = "(a + b) % 4 = 1"
+    args = [lambda nodes: nodes.withColumn("number", F.col("node")), lambda pairs, held: pairs.filter(near), "number",
+            lambda one, two: iter(())]
+    whole = links.grouped(spark.createDataFrame(rows + two, "bucket long, node long"), *args)
+    pairs = spark.createDataFrame([(k, 3 * k + 20) for k in range(60)], "a long, b long")
+    larger = spark.createDataFrame([(*r, 8) for r in rows], "bucket long, node long, size long")
+    got = dict(links.grouped(larger, *args, pairs=pairs).collect())
+    assert got == dict(whole.collect()) and len(got) > 100
+
+
 def test_small_buckets_are_checked(spark):
     buckets = spark.createDataFrame([(b, 10 * b + i) for b in range(30) for i in range(12)], "bucket long, node long")
     near = "(a % 10 < 3 and b = a + 1) or (a % 10 = 5 and b = a + 4)"
