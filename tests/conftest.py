@@ -22,6 +22,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_cached(spark):
+    """Plans of one module's tests do not read tables that another has cached."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def small():
     return SMALL
